@@ -6,14 +6,16 @@ Jaccard similarity of sets, and the overlaps are the entries of the product of t
 feature matrix with its transpose. That product is computed in blocks and never in full:
 
 * texts with equal multisets are one class from the start; only one representative goes on;
-* columns are put in one global order, rare ones first. A row's first |x| - ceil(t |x|) + 1 columns must meet
-  those of any row it is near to, so the product runs over these columns only. Frequencies are counted over
-  all documents, in a fixed number of hash counters; colliding counters cost candidates, never results;
+* columns are put in one global order, rare ones first. Of two rows x and y near to each other, the first
+  |x| - ceil(t |x|) + L columns of x and the like of y share at least L, so the product runs over these prefixes
+  only. Frequencies are counted over all documents, in a fixed number of hash counters; colliding counters or
+  columns (32-bit numbers) cost candidates, never results; a column whose counter says 1 meets no other row;
 * a product is taken up only if the sizes allow it (t |y| <= |x|) and if the positions of the shared column
   leave enough columns behind it to reach the size-derived bound t/(1+t) (|x| + |y|);
+* the overlap counts are accumulated over the shared columns, and pairs with fewer than L are discarded;
 * a column with more than ``block`` rows is cut into blocks of rows, and each pair of blocks is its own key,
   so that no task holds a hot column;
-* of what is left, the overlap of the whole rows is counted, and pairs below the bound are discarded.
+* of what is left, the overlap of the whole rows is counted exactly, and pairs below the bound are discarded.
 
 The result loses no pair. Texts without words (null, empty, blank) resemble nothing. Rows with one key and one
 text count once; of several texts under one key the greatest counts.
@@ -21,6 +23,7 @@ text count once; of several texts under one key the greatest counts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,21 +34,24 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .spanning import components
 
-COUNTERS = 20  # bits
+COUNTERS = 22  # bits
+SHARED = 3  # L above
+_EXOTIC = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def _row_features(text: str, memo: dict[str, int]) -> np.ndarray:
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _row_features(text: str, hashes: _Hashes) -> np.ndarray:
     """Sorted 64-bit features: one per occurrence of a word; words are the pieces between blank characters."""
-    import xxhash
-
-    ids = []
-    for w in text.lower().translate(_TO_SPACE).split(" "):
-        if w:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh64_intdigest(w)
-            ids.append(h)
-    a = np.sort(np.array(ids, dtype=np.uint64))
+    low = text.lower()
+    words = [w for w in re.split("[ \t\r\n]+", low) if w] if _EXOTIC.search(low) else low.split()
+    a = np.sort(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
     if len(a) > 1:  # the k-th of equal words gets a hash of its own
         first = np.concatenate([[True], a[1:] != a[:-1]])
         at = np.arange(len(a))
@@ -56,95 +62,94 @@ def _row_features(text: str, memo: dict[str, int]) -> np.ndarray:
     return a
 
 
-_TO_SPACE = {9: " ", 10: " ", 13: " "}
-
-
-def rows_of(df: DataFrame, key: str, text: str) -> DataFrame:
+def rows_of(df: DataFrame, key: str, text: str, wide: bool) -> DataFrame:
     """(key, n, sig_a, sig_b, features): one per input row with words; equal signatures mean equal multisets.
-    features is the packed array of 8-byte numbers."""
+    features: packed 64-bit numbers, or only their upper halves."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        memo: dict[str, int] = {}
+        hashes = _Hashes()
         for b in batches:
             keys, ns, sa, sb, fs = [], [], [], [], []
-            if len(memo) > 2_000_000:
-                memo.clear()
             for i, t in enumerate(b.column(1).to_pylist()):
-                a = _row_features(t, memo)
+                if len(hashes) > 300_000:
+                    hashes.clear()
+                a = _row_features(t, hashes)
                 if not len(a):
                     continue
-                raw = a.tobytes()
-                h = xxhash.xxh128_intdigest(raw)
+                h = xxhash.xxh128_intdigest(a.tobytes())
                 keys.append(i)
                 ns.append(len(a))
                 sa.append((h >> 64) - (1 << 63))
                 sb.append((h & ((1 << 64) - 1)) - (1 << 63))
-                fs.append(raw)
+                fs.append(a.tobytes() if wide else (a >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(ns, pa.int32()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(fs, pa.binary())], names=["_key", "n", "sig_a", "sig_b", "features"])
 
     src = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length(F.btrim("_text", F.lit(" \t\r\n"))) > 0)
-    return src.mapInArrow(run, f"_key {kind}, n int, sig_a long, sig_b long, features binary")
+    return src.mapInArrow(run, f"_key {kind}, n int, sig_a long, sig_b long, features binary").withColumn("id", F.xxhash64("_key", "sig_a", "sig_b"))
 
 
-def column_counts(reps: DataFrame, bits: int = COUNTERS) -> np.ndarray:
+def column_counts(rows: DataFrame, bits: int = COUNTERS) -> np.ndarray:
     """How many rows have a column in each of 2**bits counters, over all rows. The counters, not the columns,
     reach the driver: their number is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int32)
         for b in batches:
             raw = b.column(0).to_pylist()
-            if raw:
-                total += np.bincount(np.frombuffer(b"".join(raw), dtype=np.uint64) >> np.uint64(64 - bits), minlength=1 << bits)
+            for i in range(0, len(raw), 2000):
+                np.add.at(total, (np.frombuffer(b"".join(raw[i : i + 2000]), dtype=np.uint32) >> np.uint32(32 - bits)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         step = 1 << 16
         for i in range(0, len(at), step):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + step].astype(np.int32)), pa.array(total[at[i : i + step]])], names=["counter", "c"])
 
-    got = reps.select("features").mapInArrow(run, "counter int, c long").groupBy("counter").agg(F.sum("c").alias("c")).toArrow()
+    got = rows.select("features").mapInArrow(run, "counter int, c int").groupBy("counter").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(1 << bits, dtype=np.int64)
     out[got.column("counter").to_numpy()] = got.column("c").to_numpy()
-    return out
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def postings(reps: DataFrame, counts, threshold: float, bits: int = COUNTERS) -> DataFrame:
-    """(token, id, n, pos): the columns of every row's prefix, rare ones first."""
+def postings(rows: DataFrame, counts, threshold: float, block: int, bits: int = COUNTERS, shared: int = SHARED) -> DataFrame:
+    """(token, id, n, pos, k): the columns of every row's prefix, rare ones first; k: blocks of the column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counts.value
         for b in batches:
-            tok, ids, ns, pos = [], [], [], []
+            tok, ids, ns, pos, ks = [], [], [], [], []
             for i, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                f = np.frombuffer(raw, dtype=np.uint64)
-                k = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                order = np.lexsort((f, c[f >> np.uint64(64 - bits)]))[:k]
-                tok.append(f[order].view(np.int64))
+                f = np.frombuffer(raw, dtype=np.uint32)
+                df = c[f >> np.uint32(32 - bits)]
+                order = np.argsort((df.astype(np.uint64) << np.uint64(32)) | f)[: n - int(np.ceil(threshold * n - 1e-9)) + shared]
+                at = np.flatnonzero(df[order] > 1)
+                order = order[at]
+                tok.append(f[order].view(np.int32))
                 ids.append(np.full(len(order), i, dtype=np.int64))
                 ns.append(np.full(len(order), n, dtype=np.int32))
-                pos.append(np.arange(len(order), dtype=np.int32))
+                pos.append(at.astype(np.int32))
+                ks.append(-(-df[order] // block))
             if tok:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tok, ids, ns, pos)], names=["token", "id", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tok, ids, ns, pos, ks)], names=["token", "id", "n", "pos", "k"])
 
-    return reps.select("id", "n", "features").mapInArrow(run, "token long, id long, n int, pos int")
+    return rows.select("id", "n", "features").mapInArrow(run, "token int, id long, n int, pos int, k int")
 
 
-def _candidates(post: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(x, y), x < y: pairs of rows that meet in a prefix column within the size-derived bounds."""
+def _candidates(post: DataFrame, threshold: float, shared: int = SHARED) -> DataFrame:
+    """(x, y), x < y: pairs of rows that share enough prefix columns within the size-derived bounds."""
     t = threshold
-    hot = post.groupBy("token").agg(F.count("*").alias("_c")).filter(F.col("_c") > 1).select(F.col("token").alias("_t"), F.ceil(F.col("_c") / block).cast("int").alias("_k"))
-    met = post.join(hot, F.col("token") == F.col("_t")).drop("_t")  # columns of one row are gone
-    own = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")
-    left = met.withColumn("_b", own).select("token", "id", "n", "pos", F.col("_b").alias("b1"), F.explode(F.expr("sequence(0, _k - 1)")).alias("b2"))
-    right = met.withColumn("_b", own).select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("_b").alias("b2"), F.explode(F.expr("sequence(0, _k - 1)")).alias("b1"))
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    left = post.select("token", "id", "n", "pos", own.alias("b1"), F.explode(F.expr("sequence(0, k - 1)")).alias("b2"))
+    right = post.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), own.alias("b2"), F.explode(F.expr("sequence(0, k - 1)")).alias("b1"))
     # each ordered pair of blocks is one key; a pair of rows meets once in each order, and one order is kept
     least = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + F.col("n2")) - 1e-9)
     rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    seen = F.least("pos", "pos2")
-    pairs = left.join(right, ["token", "b1", "b2"]).filter((F.col("id") < F.col("id2")) & (F.col("n") >= t * F.col("n2") - 1e-9) & (F.col("n2") >= t * F.col("n") - 1e-9) & (rest + seen >= least))
-    return pairs.select(F.col("id").alias("x"), F.col("id2").alias("y")).distinct()
+    before = F.least("pos", "pos2")
+    met = left.join(right, ["token", "b1", "b2"]).filter((F.col("id") < F.col("id2")) & (F.col("n") >= t * F.col("n2") - 1e-9) & (F.col("n2") >= t * F.col("n") - 1e-9) & (rest + before >= least))
+    # rows shorter than the bound share what they have to
+    need = F.least(F.lit(shared), least)
+    return met.groupBy(F.col("id").alias("x"), F.col("id2").alias("y")).agg(F.count("*").alias("_c"), F.min(need).alias("_need")).filter("_c >= _need").select("x", "y")
 
 
 def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", threshold: float = 0.8, block: int = 2000) -> tuple[DataFrame, DataFrame]:
@@ -152,17 +157,24 @@ def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", thr
     multisets, and the pairs of near representatives."""
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
-    rows = scratch.keep(rows_of(df, key, text), "rows")
-    # of several texts under one key the greatest counts, of one text one row
-    members = rows.groupBy("_key").agg(F.max(F.struct("sig_a", "sig_b")).alias("_s")).select("_key", "_s.sig_a", "_s.sig_b")
-    classes = members.groupBy("sig_a", "sig_b").agg(F.min("_key").alias("rep"))
-    # the features of one row per class: classes are small rows, and rows is not shuffled for them
-    held = rows.join(classes, (F.col("_key") == F.col("rep")) & (rows["sig_a"] == classes["sig_a"]) & (rows["sig_b"] == classes["sig_b"])).select("rep", F.xxhash64("rep", rows["sig_a"], rows["sig_b"]).alias("id"), "n", "features")
-    reps = scratch.keep(held.dropDuplicates(["id"]), "reps")
-    counts = spark.sparkContext.broadcast(column_counts(reps))
-    cand = _candidates(scratch.keep(postings(reps, counts, threshold), "postings"), threshold, block)
-    both = cand.join(reps.select(F.col("id").alias("x"), F.col("rep").alias("rx"), F.col("features").alias("fx")), "x").join(reps.select(F.col("id").alias("y"), F.col("rep").alias("ry"), F.col("features").alias("fy")), "y")
     kind = df.schema[key].dataType.simpleString()
+    rows = scratch.keep(rows_of(df, key, text, wide=False), "rows")
+    members = rows.groupBy("_key").agg(F.max(F.struct("sig_a", "sig_b", "id")).alias("_s")).select("_key", "_s.*")
+    classes = members.groupBy("sig_a", "sig_b").agg(F.min(F.struct("_key", "id")).alias("_r"))
+    out = scratch.keep(members.join(classes, ["sig_a", "sig_b"]).select(F.col("_key").alias(key), F.col("_r._key").alias("rep"), F.col("_r.id").alias("rep_id")), "members")
+    # rows that stand for no class: few, unless copies abound; Spark picks the join by the table's size
+    others = scratch.keep(rows.select("id").distinct().join(out.select("rep_id").distinct(), F.col("id") == F.col("rep_id"), "left_anti"), "others")
+    counts = spark.sparkContext.broadcast(column_counts(rows))
+    post = scratch.keep(postings(rows.join(others, "id", "left_anti"), counts, threshold, block), "postings")
+    cand = scratch.keep(_candidates(post, threshold), "candidates")
+    scratch.drop("postings")
+    # the whole rows of what is left, from the texts
+    ids = cand.select(F.col("x").alias("rep_id")).union(cand.select("y")).distinct()
+    wanted = scratch.keep(out.select("rep", "rep_id").distinct().join(ids, "rep_id"), "wanted")
+    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(wanted.select(F.col("rep").alias("_k")).distinct(), "_k")
+    whole = scratch.keep(rows_of(texts, "_k", "_t", wide=True).select("id", "_key", "features").join(wanted.select(F.col("rep_id").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "whole")
+    scratch.drop("rows")
+    both = cand.join(whole.select(F.col("id").alias("x"), F.col("_key").alias("rx"), F.col("features").alias("fx")), "x").join(whole.select(F.col("id").alias("y"), F.col("_key").alias("ry"), F.col("features").alias("fy")), "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,9 +190,7 @@ def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", thr
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sim, pa.float64())], names=["x", "y", "similarity"])
 
     found = both.select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y"), "fx", "fy").mapInArrow(verify, f"x {kind}, y {kind}, similarity double")
-    pairs = scratch.keep(found, "pairs")
-    out = scratch.keep(members.join(classes, ["sig_a", "sig_b"]).select(F.col("_key").alias(key), "rep"), "members")
-    return out, pairs
+    return out.select(key, "rep"), scratch.keep(found, "pairs")
 
 
 def copy_pairs(members: DataFrame, pairs: DataFrame, key: str = "document_id") -> DataFrame:
