@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 from .edits import fold, levenshtein, reads_as, words
 
 BLANK = " \t\r\n"
@@ -153,6 +155,7 @@ def _matchers(names: list[tuple[str, int, str]]) -> dict[str, Matcher]:
 
 def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = 50_000) -> DataFrame:
     """values: (field_name, value), distinct; returns RESULT with one row per value, entry_id 0 where none is meant."""
+    ship(values.sparkSession)
     names = _names(reference)
     few = [tuple(r) for r in names.limit(shard_entries + 1).collect()]  # bounded by the limit
     if len(few) <= shard_entries:

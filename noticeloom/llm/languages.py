@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 BITS = 16
 # fixed values: the languages and the scripts they are written in; scripts by ranges of code points
 LANGUAGES = {"en": ["latin"], "hi": ["devanagari", "latin"], "mr": ["devanagari"], "bn": ["bengali"], "ta": ["tamil"]}
@@ -239,6 +241,7 @@ def fit(df: DataFrame, key: str = "document_id", text: str = "text", lang: str =
 def identify(df: DataFrame, key: str = "document_id", text: str = "text", lang: str = "lang", table: np.ndarray | None = None, switch: float = 16.0, **training) -> DataFrame:
     """(key, given, segment_no, lang, confidence, seg_start, seg_end, doc_lang, doc_confidence, n_langs): one row per
     segment of every row with a text; ``given`` is the delivered label."""
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     held = df.sparkSession.sparkContext.broadcast(fit(df, key, text, lang, **training) if table is None else table)
     names = ["_key", "given", "segment_no", "lang", "confidence", "seg_start", "seg_end", "doc_lang", "doc_confidence", "n_langs"]

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 from .edits import banded
 
 BITS = 23
@@ -219,6 +221,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """(key, item_key, region_start, region_end, edits, equal_words): one row per document and item that share a
     passage, for the region with the longest equal run, then the longest. Places count normalised characters;
     equal_words is min_words (or the item's length, if shorter) if that many consecutive words are equal, else 0."""
+    ship(documents.sparkSession)
     wanted = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_t")).filter(F.length(F.btrim("_t", F.lit(" \t\r\n"))) > 0)
     blocks = max(1, -(-wanted.count() // block_items))
     kind, ikind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()

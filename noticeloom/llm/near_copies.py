@@ -10,9 +10,12 @@ feature matrix with its transpose. That product is computed in blocks and never
   |x| - ceil(t |x|) + L columns of x and the like of y share at least L, so the product runs over these prefixes
   only. Frequencies are counted over all documents, in a fixed number of hash counters; colliding counters or
   columns (32-bit numbers) cost candidates, never results; a column whose counter says 1 meets no other row;
-* a product is taken up only if the sizes allow it (t |y| <= |x|) and if the positions of the shared column
-  leave enough columns behind it to reach the size-derived bound t/(1+t) (|x| + |y|);
-* the overlap counts are accumulated over the shared columns, and pairs with fewer than L are discarded;
+* the rows of a column are sorted by size, and a row is multiplied only with those of fitting size
+  (t |y| <= |x|). An entry counts only if it may be one of the pair's first L shared columns: behind it both
+  rows must have enough columns left for the size-derived bound t/(1+t) (|x| + |y|);
+* every row carries a parity bitmap; two bitmaps differ in no more bits than the rows differ in columns, so pairs
+  that differ in more bits than the sizes allow are discarded, first by 128 bits, then by 1024;
+* the overlap counts of a pair are added up over all columns, and pairs with fewer than L are discarded;
 * a column with more than ``block`` rows is cut into blocks of rows, and each pair of blocks is its own key,
   so that no task holds a hot column;
 * of what is left, the overlap of the whole rows is counted exactly, and pairs below the bound are discarded.
@@ -36,6 +39,7 @@ from .spanning import components
 
 COUNTERS = 22  # bits
 SHARED = 3  # L above
+WIDE = 1024  # bits of a row's bitmap
 _EXOTIC = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -62,8 +66,18 @@ def _row_features(text: str, hashes: _Hashes) -> np.ndarray:
     return a
 
 
+def _parity(features: np.ndarray) -> bytes:
+    """Of every bit the parity of the features that fall on it."""
+    at = ((features >> np.uint64(8)) & np.uint64(WIDE - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+
+
+def _bits(a: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a).sum(axis=-1, dtype=np.int64)
+
+
 def rows_of(df: DataFrame, key: str, text: str, wide: bool) -> DataFrame:
-    """(key, n, sig_a, sig_b, features): one per input row with words; equal signatures mean equal multisets.
+    """(key, n, sig_a, sig_b, features, bitmap): one per input row with words; equal signatures mean equal multisets.
     features: packed 64-bit numbers, or only their upper halves."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -72,7 +86,7 @@ def rows_of(df: DataFrame, key: str, text: str, wide: bool) -> DataFrame:
 
         hashes = _Hashes()
         for b in batches:
-            keys, ns, sa, sb, fs = [], [], [], [], []
+            keys, ns, sa, sb, fs, bs = [], [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if len(hashes) > 300_000:
                     hashes.clear()
@@ -85,10 +99,11 @@ def rows_of(df: DataFrame, key: str, text: str, wide: bool) -> DataFrame:
                 sa.append((h >> 64) - (1 << 63))
                 sb.append((h & ((1 << 64) - 1)) - (1 << 63))
                 fs.append(a.tobytes() if wide else (a >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(ns, pa.int32()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(fs, pa.binary())], names=["_key", "n", "sig_a", "sig_b", "features"])
+                bs.append(b"" if wide else _parity(a))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(ns, pa.int32()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(fs, pa.binary()), pa.array(bs, pa.binary())], names=["_key", "n", "sig_a", "sig_b", "features", "bitmap"])
 
     src = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length(F.btrim("_text", F.lit(" \t\r\n"))) > 0)
-    return src.mapInArrow(run, f"_key {kind}, n int, sig_a long, sig_b long, features binary").withColumn("id", F.xxhash64("_key", "sig_a", "sig_b"))
+    return src.mapInArrow(run, f"_key {kind}, n int, sig_a long, sig_b long, features binary, bitmap binary").withColumn("id", F.xxhash64("_key", "sig_a", "sig_b"))
 
 
 def column_counts(rows: DataFrame, bits: int = COUNTERS) -> np.ndarray:
@@ -113,46 +128,109 @@ def column_counts(rows: DataFrame, bits: int = COUNTERS) -> np.ndarray:
 
 
 def postings(rows: DataFrame, counts, threshold: float, block: int, bits: int = COUNTERS, shared: int = SHARED) -> DataFrame:
-    """(token, id, n, pos, k): the columns of every row's prefix, rare ones first; k: blocks of the column."""
+    """(column, id, meta, b0, b1): the columns of every row's prefix, rare ones first. column: the number of the column
+    and of a pair of its blocks; meta: the row's size, the column's place in it and the row's block; b0, b1: the
+    row's bitmap folded to 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counts.value
         for b in batches:
-            tok, ids, ns, pos, ks = [], [], [], [], []
-            for i, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for i, n, raw, bm in zip(*(b.column(j).to_pylist() for j in range(4))):
                 f = np.frombuffer(raw, dtype=np.uint32)
                 df = c[f >> np.uint32(32 - bits)]
                 order = np.argsort((df.astype(np.uint64) << np.uint64(32)) | f)[: n - int(np.ceil(threshold * n - 1e-9)) + shared]
                 at = np.flatnonzero(df[order] > 1)
-                order = order[at]
-                tok.append(f[order].view(np.int32))
-                ids.append(np.full(len(order), i, dtype=np.int64))
-                ns.append(np.full(len(order), n, dtype=np.int32))
-                pos.append(at.astype(np.int32))
-                ks.append(-(-df[order] // block))
-            if tok:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tok, ids, ns, pos, ks)], names=["token", "id", "n", "pos", "k"])
-
-    return rows.select("id", "n", "features").mapInArrow(run, "token int, id long, n int, pos int, k int")
+                tok, k = f[order[at]].astype(np.int64), -(-df[order[at]].astype(np.int64) // block)
+                own = np.where(k > 1, (i & 0x7FFFFFFF) % k, 0)
+                copies = np.repeat(np.arange(len(at)), k)
+                other = np.arange(len(copies)) - np.repeat(np.cumsum(k) - k, k)
+                lo, hi = np.minimum(own[copies], other), np.maximum(own[copies], other)
+                fold = np.bitwise_xor.reduce(np.frombuffer(bm, dtype=np.int64).reshape(-1, 2), axis=0)
+                m = len(copies)
+                out[0].append((tok[copies] << 32 | (lo & 0xFFFF) << 16 | (hi & 0xFFFF)) if m else np.empty(0, np.int64))
+                out[1].append(np.full(m, i, dtype=np.int64))
+                out[2].append(np.int64(n) << 40 | at[copies].astype(np.int64) << 16 | (own[copies] & 0xFFFF))
+                out[3].append(np.full(m, fold[0], dtype=np.int64))
+                out[4].append(np.full(m, fold[1], dtype=np.int64))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["column", "id", "meta", "b0", "b1"])
+
+    return rows.select("id", "n", "features", "bitmap").mapInArrow(run, "column long, id long, meta long, b0 long, b1 long")
+
+
+def _products(col: np.ndarray, ids: np.ndarray, meta: np.ndarray, b0: np.ndarray, b1: np.ndarray, t: float, shared: int, step: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, need) of the entries that count, for whole columns sorted by (column, meta)."""
+    n, pos, own = meta >> 40, (meta >> 16) & 0xFFFFFF, meta & 0xFFFF
+    group = np.concatenate([[0], np.cumsum(col[1:] != col[:-1])])
+    cross = ((col >> 16) & 0xFFFF) != (col & 0xFFFF)
+    width = int(n.max()) + 2
+    first = np.searchsorted(group * width + n, group * width + np.ceil(t * n - 1e-9).astype(np.int64))
+    k = np.arange(len(col)) - first
+    total = np.cumsum(k)
+    a = 0
+    while a < len(col):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + step)))
+        kk = k[a:b]
+        i = np.repeat(np.arange(a, b), kk)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(kk) - kk, kk) + np.repeat(first[a:b], kk)
+        least = np.ceil(t / (1 + t) * (n[i] + n[j]) - 1e-9).astype(np.int64)
+        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) + (shared - 1) >= least
+        i, j, least = i[ok], j[ok], least[ok]
+        ok = ((~cross[i]) | (own[i] != own[j])) & (ids[i] != ids[j])
+        differ = np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
+        ok &= differ <= n[i] + n[j] - 2 * least
+        i, j, least = i[ok], j[ok], least[ok]
+        yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.minimum(least, shared)
+        a = b
 
 
 def _candidates(post: DataFrame, threshold: float, shared: int = SHARED) -> DataFrame:
     """(x, y), x < y: pairs of rows that share enough prefix columns within the size-derived bounds."""
-    t = threshold
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    left = post.select("token", "id", "n", "pos", own.alias("b1"), F.explode(F.expr("sequence(0, k - 1)")).alias("b2"))
-    right = post.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), own.alias("b2"), F.explode(F.expr("sequence(0, k - 1)")).alias("b1"))
-    # each ordered pair of blocks is one key; a pair of rows meets once in each order, and one order is kept
-    least = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + F.col("n2")) - 1e-9)
-    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    before = F.least("pos", "pos2")
-    met = left.join(right, ["token", "b1", "b2"]).filter((F.col("id") < F.col("id2")) & (F.col("n") >= t * F.col("n2") - 1e-9) & (F.col("n2") >= t * F.col("n") - 1e-9) & (rest + before >= least))
-    # rows shorter than the bound share what they have to
-    need = F.least(F.lit(shared), least)
-    return met.groupBy(F.col("id").alias("x"), F.col("id2").alias("y")).agg(F.count("*").alias("_c"), F.min(need).alias("_need")).filter("_c >= _need").select("x", "y")
-
-
-def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", threshold: float = 0.8, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            got = [b.column(j).to_numpy() for j in range(5)]
+            held = got if held is None else [np.concatenate(p) for p in zip(held, got)]
+            if not len(held[0]):
+                continue
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last column may go on in the next batch
+            if whole:
+                yield from emit([h[:whole] for h in held])
+                held = [h[whole:] for h in held]
+        if held is not None and len(held[0]):
+            yield from emit(held)
+
+    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x, y, need in _products(*cols, threshold, shared):
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(need.astype(np.int32))], names=["x", "y", "need"])
+
+    met = post.repartition("column").sortWithinPartitions("column", "meta").mapInArrow(run, "x long, y long, need int")
+    return met.groupBy("x", "y").agg(F.count("*").alias("_c"), F.min("need").alias("_need")).filter("_c >= _need").select("x", "y")
+
+
+def _by_bitmap(cand: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The candidates whose whole bitmaps differ in no more bits than their sizes allow."""
+    facts = rows.select("id", "n", "bitmap").dropDuplicates(["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            p, q = (np.frombuffer(b"".join(b.column(j).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for j in (4, 5))
+            least = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+            at = pa.array(np.flatnonzero(_bits(p ^ q) <= n + m - 2 * least))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["x", "y"])
+
+    one = facts.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
+    two = facts.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
+    return cand.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "bx", "by").mapInArrow(run, "x long, y long")
+
+
+def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", threshold: float = 0.8, block: int = 4000) -> tuple[DataFrame, DataFrame]:
     """(members (key, rep), pairs (x, y, similarity)): every key with the representative of its class of equal
     multisets, and the pairs of near representatives."""
     spark = df.sparkSession
@@ -165,15 +243,15 @@ def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", thr
     # rows that stand for no class: few, unless copies abound; Spark picks the join by the table's size
     others = scratch.keep(rows.select("id").distinct().join(out.select("rep_id").distinct(), F.col("id") == F.col("rep_id"), "left_anti"), "others")
     counts = spark.sparkContext.broadcast(column_counts(rows))
-    post = scratch.keep(postings(rows.join(others, "id", "left_anti"), counts, threshold, block), "postings")
-    cand = scratch.keep(_candidates(post, threshold), "candidates")
-    scratch.drop("postings")
+    met = scratch.keep(_candidates(postings(rows.join(others, "id", "left_anti"), counts, threshold, block), threshold), "met")
+    cand = scratch.keep(_by_bitmap(met, rows, threshold), "candidates")
+    scratch.drop("rows")
+    scratch.release()
     # the whole rows of what is left, from the texts
     ids = cand.select(F.col("x").alias("rep_id")).union(cand.select("y")).distinct()
     wanted = scratch.keep(out.select("rep", "rep_id").distinct().join(ids, "rep_id"), "wanted")
     texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(wanted.select(F.col("rep").alias("_k")).distinct(), "_k")
     whole = scratch.keep(rows_of(texts, "_k", "_t", wide=True).select("id", "_key", "features").join(wanted.select(F.col("rep_id").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "whole")
-    scratch.drop("rows")
     both = cand.join(whole.select(F.col("id").alias("x"), F.col("_key").alias("rx"), F.col("features").alias("fx")), "x").join(whole.select(F.col("id").alias("y"), F.col("_key").alias("ry"), F.col("features").alias("fy")), "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

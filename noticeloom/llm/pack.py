@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 PUNCT = r"!-/:-@\[-`{-~"
 PATTERN = rf"[{PUNCT}]|[^ \t\r\n{PUNCT}]+"
 
@@ -86,6 +88,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_items: int, attention: float,
 
 def items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 512, size=pattern_size) -> DataFrame:
     """(key, piece_no, token_start, n_tokens): a document, or its parts if it exceeds the capacity."""
+    ship(df.sparkSession)
     sized = df.select(F.col(key).alias("_key"), size(F.col(text)).alias("_n")).groupBy("_key").agg(F.max("_n").alias("_n"))
     return sized.select("_key", "_n", F.explode(F.expr(f"sequence(0, greatest(cast(ceil(_n / {capacity}) as int) - 1, 0))")).alias("_p")).select(
         F.col("_key").alias(key), (F.col("_p") + 1).alias("piece_no"), (F.col("_p") * capacity).alias("token_start"), F.least(F.lit(capacity), F.col("_n") - F.col("_p") * capacity).alias("n_tokens")
@@ -96,6 +99,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     """(container_id, key, piece_no, token_start, n_tokens): every document placed once, divided only if
     longer than ``capacity``. container_id is unique over all shards and repeatable. ``attention`` bounds the sum of
     squared lengths and is at least capacity squared, else a full-length item would fit nowhere."""
+    ship(df.sparkSession)
     attention = float(capacity * capacity if attention is None else attention)
     if attention < capacity * capacity:
         raise ValueError("the attention capacity must admit one full item")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 BLANK = " \t\r\n"
 SPECIAL = ["[CLS]", "[SEP]", "[PAD]"]
 CUTS = "array<struct<piece_start:int,piece_end:int>>"
@@ -133,6 +135,7 @@ def text_pieces(df: DataFrame, key: str = "document_id", text: str = "text", lat
     """(key, piece_no, piece_start, piece_end, piece) of every text longer than ``limit`` code points
     without its outer blanks. Offsets count code points of the trimmed text. Of rows with one key the
     latest (then greatest) text counts."""
+    ship(df.sparkSession)
 
     @F.pandas_udf(CUTS)
     def cuts(s: pd.Series) -> pd.Series:
@@ -163,6 +166,7 @@ def chunk_pieces(df: DataFrame, keys: tuple[str, str] = ("document_id", "chunk_i
     """(keys, piece_no, piece_start, piece_end, tokens, input_ids, labels, label_ids) of every chunk with
     more than ``limit`` content tokens (attention_mask 1, no special token); the parallel arrays are cut
     alike. Null arrays have no content."""
+    ship(df.sparkSession)
 
     @F.pandas_udf(CUTS)
     def cuts(s: pd.Series) -> pd.Series:

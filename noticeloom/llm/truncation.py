@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 BITS = 16
 TAIL = 240
 # fixed values: what shorteners, broken encodings and broken escapes leave at a cut
@@ -176,6 +178,7 @@ def lengths(df: DataFrame, source: str = "source", text: str = "text") -> DataFr
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", train_rows: int = 6000) -> DataFrame:
     """(key, source, score, truncated) for every row with a non-blank text. Rows are not merged."""
+    ship(df.sparkSession)
     base = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text")).filter(F.length(F.btrim("_text", F.lit(" \t\r\n"))) > 0)
     stats = lengths(df, source, text)
     # a limit has a spike: clearly more rows than any other length of the source
