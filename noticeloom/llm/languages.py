@@ -118,10 +118,9 @@ def unit_facts(cp: np.ndarray, starts: np.ndarray, table: np.ndarray | None) ->
     return letters, counts, sentence, scores
 
 
-def _fit(rows: list[tuple[np.ndarray, int]], classes: int) -> np.ndarray:
-    counts = np.zeros(((1 << BITS) + 1, classes))
-    for g, c in rows:
-        counts[:, c] += np.bincount(g, minlength=(1 << BITS) + 1)
+def _fit(g: np.ndarray, c: np.ndarray, classes: int) -> np.ndarray:
+    """g: trigram rows; c: the class of each."""
+    counts = np.bincount(g * classes + c, minlength=((1 << BITS) + 1) * classes).reshape(-1, classes).astype(np.float64)
     counts[-1] = 0
     total = counts[:-1].sum(axis=0)
     table = np.log((counts + 0.02) / (total + 0.02 * (1 << BITS)))
@@ -150,15 +149,26 @@ def train(texts: list[str], labels: list[str | None], rounds: int = 3) -> np.nda
             script = scripts[int(s.argmax())]
             c = CLASSES.index((lang, script)) if (lang, script) in CLASSES else -1
             found.append((g[a:b], int(s.argmax()), c))
-    allowed = {i: [c for c, (_, s) in enumerate(CLASSES) if s == name] for i, name in enumerate(scripts)}
-    rows = [(g, c) for g, _, c in found if c >= 0]
-    table = _fit(rows, len(CLASSES))
+    table = np.zeros(((1 << BITS) + 1, len(CLASSES)), dtype=np.float32)
+    known = [x for x in found if x[2] >= 0]
+    if not known:
+        return table
+    fit = lambda units_, c: _fit(np.concatenate(units_), np.repeat(c, [len(u) for u in units_]), len(CLASSES))
+    table = fit([x[0] for x in known], np.array([x[2] for x in known]))
+    # a class must be in the unit's script
+    barred = np.array([[s != name for _, s in CLASSES] for name in scripts])
+    every, script_of = [x[0] for x in found], np.array([x[1] for x in found])
+    g, size = np.concatenate(every), np.array([len(u) for u in every])
+    starts = np.cumsum(size) - size
     for _ in range(rounds):
-        rows = []
-        for g, s, _ in found:
-            own = allowed[s]
-            rows.append((g, own[int(table[g][:, own].sum(axis=0).argmax())]))
-        table = _fit(rows, len(CLASSES))
+        score = np.empty((len(every), len(CLASSES)))
+        a = 0
+        while a < len(every):
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK)))
+            score[a:b] = np.add.reduceat(table[g[starts[a] : starts[b - 1] + size[b - 1]]], starts[a:b] - starts[a], axis=0)
+            a = b
+        score[barred[script_of]] = -np.inf
+        table = _fit(g, np.repeat(score.argmax(axis=1), size), len(CLASSES))
     return table
 
 

@@ -50,7 +50,8 @@ def _relabel(edges: DataFrame, labels: DataFrame, end: str, to: str) -> DataFram
     """``to`` = the label of ``end``. The hot ends are spread over SALTS by their edge; labels are copied to each salt."""
     left = edges.withColumn("_salt", F.pmod(F.xxhash64("u", "v"), F.lit(SALTS)).cast("int"))
     right = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    return left.join(right, (F.col(end) == F.col("_n")) & (F.col("_salt") == F.col("_s")), "left").withColumn(to, F.coalesce("_l", end)).drop("_n", "_l", "_s", "_salt")
+    # copies of one label compress so well that their size says little: never broadcast
+    return left.join(right.hint("merge"), (F.col(end) == F.col("_n")) & (F.col("_salt") == F.col("_s")), "left").withColumn(to, F.coalesce("_l", end)).drop("_n", "_l", "_s", "_salt")
 
 
 def forest(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int = 64) -> tuple[DataFrame | None, list[str]]:
