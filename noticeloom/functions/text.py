@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +24,16 @@ def _q(s: str) -> str:
     return f'r"{s}"'
 
 
-@F.pandas_udf("string")
-def _nfkc(s):
-    import unicodedata
+def _nfkc(c: Column) -> Column:
+    """Made when used: a UDF's type can only be parsed where there is a session."""
 
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return nfkc(c)
 
 
 def replace_code_points(c: Column) -> Column:
@@ -76,7 +82,7 @@ def find_all(text: str, pattern: str) -> Column:
     p = _q(pattern)
     return F.expr(
         f"""aggregate(
-            arrays_zip(regexp_extract_all({text}, {p}, 0) as m, slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))) as g),
+            zip_with(regexp_extract_all({text}, {p}, 0), slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), (m, g) -> named_struct('m', m, 'g', g)),
             named_struct('p', 0, 'a', cast(array() as array<struct<start:int,end:int,value:string>>)),
             (s, x) -> named_struct('p', s.p + length(x.g) + length(x.m),
                                    'a', concat(s.a, array(named_struct('start', s.p + length(x.g), 'end', s.p + length(x.g) + length(x.m), 'value', x.m)))),

@@ -50,12 +50,16 @@ DEADLINES = ["LAST_DATE", "DEADLINE", "CLOSING_DATE", "END_DATE"]
 WINDOW = 120
 
 
+def _numbered(n: int):
+    return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(n).alias("pattern"), x["value"].alias("value"))
+
+
 def find_dates(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
     """(key, start, end, value, pattern): every date once, by the first notation that fits its place. Row-wise."""
     t = df.select(F.col(key).alias("_key"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull())
     found = None
     for n, p in enumerate(DATE_PATTERNS):
-        each = F.transform(find_all("_t", p), lambda x, n=n: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(n).alias("pattern"), x["value"].alias("value")))
+        each = F.transform(find_all("_t", p), _numbered(n))
         found = each if found is None else F.concat(found, each)
     # of equal places the first notation
     once = F.filter(F.col("_all"), lambda x: ~F.exists(F.col("_all"), lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]) & (y["pattern"] < x["pattern"])))
@@ -67,7 +71,8 @@ def classify(dates: DataFrame) -> DataFrame:
     of equal weights the first in the table counts."""
     before = F.lower(F.expr(f"substring(_text, greatest(start - {WINDOW}, 0) + 1, least(start, {WINDOW}))"))
     after = F.lower(F.expr(f"substring(_text, end + 1, {WINDOW})"))
-    base = dates.withColumns({"_before": before, "_around": F.concat(before, F.lit(" "), after)})
+    # explode() of one element: a place from which neither filters nor projections copy the long expressions
+    base = dates.withColumn("_c", F.explode(F.array(F.struct(before.alias("b"), after.alias("a"))))).withColumns({"_before": F.col("_c.b"), "_around": F.concat("_c.b", F.lit(" "), "_c.a")})
     scored, order = [], 0
     for kind, patterns in CONTEXT.items():
         for p in patterns:
@@ -76,11 +81,11 @@ def classify(dates: DataFrame) -> DataFrame:
             s = F.when(F.col("_before").rlike(p), 0.85 - F.least(F.lit(0.20), 0.005 * far)).when(F.col("_around").rlike(p), 0.70).otherwise(0.0)
             scored.append(F.struct(F.round(s, 6).alias("s"), F.lit(-order).alias("o"), F.lit(kind).alias("k")))
             order += 1
-    out = base.withColumn("_best", F.array_max(F.array(*scored)))
+    out = base.withColumn("_best", F.explode(F.array(F.array_max(F.array(*scored)))))
     header = (F.col("start") < 500) & contains_any(F.lower(F.expr("substring(_text, 1, start)")), HEADER_SIGNS)
     kind = F.when(F.col("_best.s") > 0, F.col("_best.k")).when(header, "ISSUE_DATE").otherwise("UNKNOWN_DATE")
     conf = F.when(F.col("_best.s") > 0, F.col("_best.s")).when(header, 0.65).otherwise(0.0)
-    return out.withColumns({"type": kind, "type_confidence": F.round(F.greatest(F.lit(0.30), F.least(F.lit(0.99), conf)), 4)}).drop("_best", "_before", "_around")
+    return out.withColumns({"type": kind, "type_confidence": F.round(F.greatest(F.lit(0.30), F.least(F.lit(0.99), conf)), 4)}).drop("_best", "_before", "_around", "_c")
 
 
 def parse(value: Column) -> Column:

@@ -63,5 +63,5 @@ def summary(scored: DataFrame, key: str = "document_id", length: str = "STANDARD
     k = F.when((F.col("n") > low) & F.col("_has"), F.lit(high)).otherwise(F.lit(low))
     kept = F.filter("_all", lambda x: x["_r"] <= F.col("_k"))
     mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["score"]) / F.size(kept)
-    conf = F.when(F.col("n") <= low, 0.95).otherwise(F.least(F.lit(0.98), F.greatest(F.lit(0.60), F.round(0.60 + F.least(F.lit(0.38), mean * 0.05), 2))))
+    conf = F.when(F.col("n") <= low, 0.95).otherwise(F.least(F.lit(0.98), F.greatest(F.lit(0.60), F.round(F.round(0.60 + F.least(F.lit(0.38), mean * 0.05), 6), 2))))
     return top.withColumn("_k", k).select(key, F.size(kept).alias("picked"), F.array_join(F.transform(kept, lambda x: x["sentence"]), " ").alias("summary"), F.round(conf, 2).alias("confidence"))
