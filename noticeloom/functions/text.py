@@ -77,27 +77,41 @@ def capitalise(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
 
 
-def find_all(text: str, pattern: str) -> Column:
-    """array<struct<start,end,value>> of all matches of a pattern without empty matches, in the column named ``text``."""
+def find_all(text: str, pattern: str, block: int = 32) -> Column:
+    """array<struct<start,end,value>> of all matches of a pattern without empty matches, in the column named ``text``.
+
+    Places are running sums of the lengths of matches and gaps. The fold appends to an array, which copies it; so it
+    runs over blocks of matches, and texts with very many matches stay linear but for a small factor.
+    """
     p = _q(pattern)
+    kind = "array<struct<start:int,end:int,value:string>>"
+    step = """(s, x) -> named_struct('p', s.p + length(x.g) + length(x.m),
+        'a', concat(s.a, array(named_struct('start', s.p + length(x.g), 'end', s.p + length(x.g) + length(x.m), 'value', x.m))))"""
     return F.expr(
-        f"""aggregate(
-            zip_with(regexp_extract_all({text}, {p}, 0), slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), (m, g) -> named_struct('m', m, 'g', g)),
-            named_struct('p', 0, 'a', cast(array() as array<struct<start:int,end:int,value:string>>)),
-            (s, x) -> named_struct('p', s.p + length(x.g) + length(x.m),
-                                   'a', concat(s.a, array(named_struct('start', s.p + length(x.g), 'end', s.p + length(x.g) + length(x.m), 'value', x.m)))),
-            s -> s.a)"""
+        f"""transform(array(regexp_extract_all({text}, {p}, 0)), ms -> transform(
+            array(zip_with(ms, slice(split({text}, {p}, -1), 1, size(ms)), (m, g) -> named_struct('m', m, 'g', g))), all -> aggregate(
+            transform(sequence(0, greatest(size(all) - 1, 0) div {block}), b -> slice(all, cast(b * {block} + 1 as int), {block})),
+            named_struct('p', 0, 'a', cast(array() as array<{kind}>)),
+            (t, part) -> transform(array(aggregate(part, named_struct('p', t.p, 'a', cast(array() as {kind})), {step})), r -> named_struct('p', r.p, 'a', concat(t.a, array(r.a))))[0],
+            t -> flatten(t.a)))[0])[0]"""
     )
 
 
-def first_capture(text: str, before: str, group: str, flags: str = "") -> Column:
-    """struct<start,end,value> of the first place where ``before`` is followed by ``group``; null if nowhere."""
-    p = _q(f"{flags}^((?s:.*?)(?:{before}))({group})")
+def first_capture(text: str, before: str, group: str, flags: str = "", needs: list[str] | None = None) -> Column:
+    """struct<start,end,value> of the first place where ``before`` is followed by ``group``; null if nowhere.
+
+    One pass over the text: the whole match is taken out, its place is that of its first occurrence as a string (an earlier
+    occurrence would have matched itself), and the group is the match's end. ``needs``: strings one of which every match
+    holds; texts without them are not searched.
+    """
+    whole = f"regexp_extract({text}, {_q(f'{flags}(?:{before})(?:{group})')}, 0)"
+    part = f"regexp_extract(w, {_q(f'{flags}^(?:{before})({group})')}, 1)" if before else "w"
+    if needs:
+        guard = " or ".join(f"contains({text}, '{n}')" for n in needs)
+        whole = f"case when {guard} then {whole} else '' end"
     return F.expr(
-        f"""case when {text} rlike {_q(flags + '(?:' + before + ')(?:' + group + ')')} then
-            named_struct('start', length(regexp_extract({text}, {p}, 1)),
-                         'end', length(regexp_extract({text}, {p}, 1)) + length(regexp_extract({text}, {p}, 2)),
-                         'value', regexp_extract({text}, {p}, 2)) end"""
+        f"""transform(array({whole}), w -> case when w <> '' then
+            transform(array({part}), g -> named_struct('start', locate(w, {text}) - 1 + length(w) - length(g), 'end', locate(w, {text}) - 1 + length(w), 'value', g))[0] end)[0]"""
     )
 
 

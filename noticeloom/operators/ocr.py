@@ -38,7 +38,7 @@ def page_quality(words: DataFrame, area: str | None = None, keys: list[str] = PA
     sure = F.when(lang == "unknown", 0.0).otherwise(0.7)
     odd = F.col("_odd") / F.greatest(F.lit(1), F.col("_chars"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.40 * F.col("_conf") + 0.25 * F.col("_valid") + 0.15 * density + 0.10 * (1.0 - odd) + 0.10 * sure))
-    r4 = lambda c: F.round(F.round(c, 9), 4)
+    r4 = lambda c: F.round(c + 1e-9, 4)  # noqa: E731  halves round up whatever their binary form
     return g.select(*keys, r4(F.col("_conf")).alias("avg_confidence"), r4(F.col("_valid")).alias("token_validity_ratio"), r4(density).alias("text_density"), r4(odd).alias("abnormal_char_ratio"), lang.alias("language_detected"), "word_count", r4(score).alias("ocr_quality_score"), quality_label(score).alias("quality_label"))
 
 
@@ -48,7 +48,7 @@ def document_quality(pages: DataFrame) -> DataFrame:
     by_lang = pages.groupBy("document_id", "language_detected").agg(F.sum("word_count").alias("_w"), F.sum(F.col("ocr_quality_score") * F.col("word_count")).alias("_q"), F.count("*").alias("_p"), F.count_if(F.col("quality_label") == "GOOD").alias("_good"), F.count_if(F.col("quality_label").isin("POOR", "VERY_POOR")).alias("_poor"), F.max(F.col("word_count") > 10).alias("_big"))
     top = F.max(F.struct("_w", F.col("language_detected").alias("l")))
     several = F.count_if(F.col("_big") & (F.col("language_detected") != "unknown")) > 1
-    g = by_lang.groupBy("document_id").agg(F.round(F.round(F.sum("_q") / F.sum("_w"), 9), 4).alias("quality"), top.alias("_t"), several.alias("bilingual"), F.sum("_p").alias("pages"), F.sum("_good").alias("good_pages"), F.sum("_poor").alias("poor_pages"), F.sum("_w").alias("words"))
+    g = by_lang.groupBy("document_id").agg(F.round(F.sum("_q") / F.sum("_w") + 1e-9, 4).alias("quality"), top.alias("_t"), several.alias("bilingual"), F.sum("_p").alias("pages"), F.sum("_good").alias("good_pages"), F.sum("_poor").alias("poor_pages"), F.sum("_w").alias("words"))
     return g.select("document_id", "quality", F.when(F.col("words") > 0, quality_label(F.col("quality"))).otherwise("NO_TEXT").alias("label"), F.col("_t.l").alias("language"), "bilingual", "pages", "good_pages", "poor_pages", "words")
 
 

@@ -17,6 +17,7 @@ AUTHORITY_SIGNS = [
 ]
 NO_AUTHORITY = "Government Authority / Department"
 AUTHORITY = r"(MINISTRY OF [A-Z\s&]+|DEPARTMENT OF [A-Z\s&]+|GOVERNMENT OF [A-Z\s&]+|[A-Z\s&]+UNIVERSITY|[A-Z\s&]+BOARD|[A-Z\s&]+COMMISSION)"
+AUTHORITY_NEEDS = ["MINISTRY OF", "DEPARTMENT OF", "GOVERNMENT OF", "UNIVERSITY", "BOARD", "COMMISSION"]
 TYPE_SIGNS = [
     (["SHOW CAUSE"], "Show Cause Notice (SCN)", "Show Cause Notice under Statutory Act"), (["AUDIT", "SCRUTINY"], "Audit & Scrutiny Notice", "Notice for Statutory Audit & Scrutiny"),
     (["DEMAND"], "Tax & Fine Demand Notice", "Demand Notice for Unpaid Duties / Fines"), (["ADVISORY", "DIRECTIVE"], "Compliance Advisory & Directive", "Statutory Compliance Directive"),
@@ -54,7 +55,8 @@ def metadata(df: DataFrame, as_of: str, key: str = "document_id", text: str = "t
     """(key, issuing_authority, notice_type, notice_title, notice_ref_no, notice_date, act_rules_cited, jurisdiction). A narrow projection."""
     u = F.upper(F.col("_t"))
     base = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), (F.col(title) if title else F.lit(None).cast("string")).alias("_title"), (F.col(date) if date else F.lit(None).cast("string")).alias("_date")).filter("_t is not null")
-    dynamic = F.nullif(F.regexp_extract(u, AUTHORITY, 1), F.lit(""))
+    # the search is dear and seldom needed: only texts that hold one of its words are searched
+    dynamic = F.when(contains_any(u, AUTHORITY_NEEDS), F.nullif(F.regexp_extract(u, AUTHORITY, 1), F.lit("")))
     acts = F.array_compact(F.array(*[F.when(contains_any(u, signs), act) for signs, act in ACTS]))
     return base.select(
         F.col("_key").alias(key),

@@ -9,13 +9,14 @@ from ..functions.grouped import first_by
 from ..functions.text import contains_any, find_all, first_capture, lines, rfind, strip
 
 FIELDS = ["title", "authority", "date", "contact", "audience", "eligibility", "document", "notice_number"]
-# fixed values: words of titles; patterns of authorities, in order of precedence
+# fixed values: words of titles; patterns of authorities, in order of precedence, and what each must hold
 TITLE_WORDS = ["NOTIFICATION", "CIRCULAR", "SHOW CAUSE", "PUBLIC NOTICE", "ORDINANCE", "DRAFT", "ADVISORY", "MEMORANDUM"]
 AUTHORITIES = [
     r"MINISTRY OF [A-Z\s&]+(?:AND\s+[A-Z\s&]+)?", r"DEPARTMENT OF [A-Z\s&]+(?:AND\s+[A-Z\s&]+)?", r"GOVERNMENT OF [A-Z\s&]+", r"[A-Z\s&]+UNIVERSITY",
     r"FOOD SAFETY AND STANDARDS AUTHORITY[A-Z\s&]*", r"EMPLOYEES['\s]*PROVIDENT FUND ORGANISATION", r"CENTRAL BOARD OF [A-Z\s&]+", r"DIRECTORATE GENERAL OF [A-Z\s&]+",
     r"REGISTRAR OF [A-Z\s&]+", r"[A-Z\s&]+COMMISSION", r"[A-Z\s&]+BOARD", r"[A-Z\s&]+CORPORATION", r"[A-Z\s&]+AUTHORITY",
 ]
+AUTHORITY_NEEDS = ["MINISTRY OF", "DEPARTMENT OF", "GOVERNMENT OF", "UNIVERSITY", "FOOD SAFETY", "PROVIDENT FUND", "CENTRAL BOARD OF", "DIRECTORATE GENERAL OF", "REGISTRAR OF", "COMMISSION", "BOARD", "CORPORATION", "AUTHORITY"]
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 DATE = rf"(?i)\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{_MONTH})[,\s]+\d{{4}}|\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{4}}"
 CONTACT = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+|\+?\d[\d\s-]{9,14}"
@@ -54,8 +55,8 @@ def find_spans(df: DataFrame, key: str = "document_id", text: str = "text") -> D
     at = F.expr("locate(_title, _t)") - 1
     title = _span("title", F.when(F.col("_marked").isNotNull(), 0.90).otherwise(0.75), at, at + F.length("_title"))
     auth = None
-    for p in AUTHORITIES:
-        hit = first_capture("_up", "", p)
+    for p, needed in zip(AUTHORITIES, AUTHORITY_NEEDS):
+        hit = first_capture("_up", "", p, needs=[needed])
         auth = hit if auth is None else F.coalesce(auth, hit)
     base = base.withColumns({"_auth": auth, "_dates": find_all("_t", DATE), "_contact": first_capture("_t", "", CONTACT), **{f"_{f}": first_capture("_t", *p, flags="(?i)") for f, p in CAPTURES.items()}})
     a0 = F.col("_auth.start")

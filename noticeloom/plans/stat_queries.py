@@ -246,11 +246,11 @@ def _nll(t: float) -> str:
 
 
 QUERIES = {
-    "ocr_page_quality": (ocr_page_quality, f"SELECT document_id, page_number, round(round(conf, 9), 4) AS avg_confidence, round(round(valid, 9), 4) AS token_validity_ratio, round(round(least(1.0, chars / 3000.0), 9), 4) AS text_density, round(round(odd::DOUBLE / greatest(1, chars), 9), 4) AS abnormal_char_ratio, lang AS language_detected, n AS word_count, round(round(score, 9), 4) AS ocr_quality_score, {_LABEL.format('score')} AS quality_label FROM {_PAGEQ}"),
+    "ocr_page_quality": (ocr_page_quality, f"SELECT document_id, page_number, round(conf + 1e-9, 4) AS avg_confidence, round(valid + 1e-9, 4) AS token_validity_ratio, round(least(1.0, chars / 3000.0) + 1e-9, 4) AS text_density, round(odd::DOUBLE / greatest(1, chars) + 1e-9, 4) AS abnormal_char_ratio, lang AS language_detected, n AS word_count, round(score + 1e-9, 4) AS ocr_quality_score, {_LABEL.format('score')} AS quality_label FROM {_PAGEQ}"),
     "ocr_doc_quality": (ocr_doc_quality, f"""
-        WITH p AS (SELECT document_id, lang, n, round(round(score, 9), 4) AS s, {_LABEL.format('score')} AS label FROM {_PAGEQ}),
+        WITH p AS (SELECT document_id, lang, n, round(score + 1e-9, 4) AS s, {_LABEL.format('score')} AS label FROM {_PAGEQ}),
         l AS (SELECT document_id, lang, sum(n) AS w, sum(s * n) AS sq, count(*) AS pages, count(*) FILTER (label = 'GOOD') AS good, count(*) FILTER (label IN ('POOR', 'VERY_POOR')) AS poor, bool_or(n > 10) AS big FROM p GROUP BY 1, 2),
-        g AS (SELECT document_id, round(round(sum(sq) / sum(w), 9), 4) AS quality, arg_max(lang, (w, lang)) AS language, count(*) FILTER (big AND lang <> 'unknown') > 1 AS bilingual, sum(pages) AS pages, sum(good) AS good_pages, sum(poor) AS poor_pages, sum(w) AS words FROM l GROUP BY 1)
+        g AS (SELECT document_id, round(sum(sq) / sum(w) + 1e-9, 4) AS quality, arg_max(lang, (w, lang)) AS language, count(*) FILTER (big AND lang <> 'unknown') > 1 AS bilingual, sum(pages) AS pages, sum(good) AS good_pages, sum(poor) AS poor_pages, sum(w) AS words FROM l GROUP BY 1)
         SELECT document_id, quality, {_LABEL.format('quality')} AS label, language, bilingual, pages, good_pages, poor_pages, words FROM g"""),
     "layout_lines": (layout_lines, f"SELECT document_id, page_number, line_no, md5(text) AS digest, confidence, x1, y1, x2, y2, word_count FROM {_LINES}"),
     "layout_zones": (layout_zones, f"SELECT zone, count(*) AS lines, sum(word_count) AS words FROM {_ZONED} GROUP BY 1"),
