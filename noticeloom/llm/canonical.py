@@ -174,7 +174,7 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = 50_
 
     # a stated query set against the reference in blocks
     asked = values.select("field_name", "value", F.pmod(F.xxhash64("value"), F.lit(salts)).alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
-    held = names.select("*", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("_salt"))
+    held = names.select("*", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("_salt"))
     won = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(both, RESULT)
     rank = F.struct((F.col("how") == "none"), (F.col("how") == "abbreviation"), (F.col("how") == "part"), F.coalesce("distance", F.lit(99)), "entry_id", "how", "distance")
     return won.groupBy("field_name", "value").agg(F.min(rank).alias("_b")).select("field_name", "value", F.col("_b.entry_id").alias("entry_id"), F.col("_b.distance").alias("distance"), F.col("_b.how").alias("how"))

@@ -312,6 +312,11 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     )
 
 
+def _whole(r: dict) -> bool:
+    """Not mere initials of an office, nor an officer without a post: such readings may fit several."""
+    return r["kind"] == "office" or bool(r["post"])
+
+
 def links(classes: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidate pairs whose readings name the same."""
     parts = F.struct(*_PARTS)
@@ -325,7 +330,7 @@ def links(classes: DataFrame, candidates: DataFrame) -> DataFrame:
                 if not hit and x["kind"] == y["kind"] == "officer":
                     hit = same(_swapped(x), y) or same(x, _swapped(y))
                 ok.append(hit)
-            yield pdf.loc[ok, ["a", "b"]].assign(bare=[not (x["post"] and y["post"]) and x["kind"] == "officer" for x, y, k in zip(pdf["ra"], pdf["rb"], ok) if k])
+            yield pdf.loc[ok, ["a", "b"]].assign(bare=[not (_whole(x) and _whole(y)) for x, y, k in zip(pdf["ra"], pdf["rb"], ok) if k])
 
     return sides.mapInPandas(run, "a string, b string, bare boolean")
 
@@ -333,16 +338,16 @@ def links(classes: DataFrame, candidates: DataFrame) -> DataFrame:
 def link_names(values: DataFrame, column: str = "name") -> DataFrame:
     """(name, name_class): one row per distinct non-blank raw value that can be read; equal classes name the same.
 
-    An officer given without a post ("Surname G.") joins the officer it fits, unless officers that are
-    told apart by their posts fit it alike.
+    An officer given without a post ("Surname G.") or an office given by initials joins the one it fits, unless
+    several that are told apart by their posts or names fit it alike.
     """
     scratch = Scratch(values.sparkSession, "names")
     read_ = scratch.keep(readings(values, column), "readings")
     classes = read_.select("class_key", *_PARTS).distinct()
     found = scratch.keep(links(classes, candidate_pairs(classes)), "links")
     sure = components(found.filter(~F.col("bare")).select("a", "b"), scratch, "sure")
-    # links of bare values: only where all of a bare value's partners with a post are one component
-    posts = classes.select("class_key", (F.col("post") != "").alias("_has"))
+    # links of bare values: only where all of a bare value's whole partners are one component
+    posts = classes.select("class_key", ((F.col("kind") == "office") | (F.col("post") != "")).alias("_has"))
     bare = found.filter("bare").select("a", "b").union(found.filter("bare").select(F.col("b").alias("a"), F.col("a").alias("b")))
     bare = bare.join(posts.withColumnRenamed("class_key", "a"), "a").filter(~F.col("_has")).drop("_has")
     bare = bare.join(posts.withColumnRenamed("class_key", "b"), "b")
