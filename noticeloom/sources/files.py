@@ -31,7 +31,7 @@ def read_jsonl(spark: SparkSession, paths: list[str], schema: str) -> tuple[Data
 def read_jsonl_numbered(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """(source_file, line_no, raw, row, error): every non-blank line with its number; error is PARSE_ERROR or null. Each file is one
     value, as line numbers need; the lines are spread from there."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("_i", "raw"))
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("_i", "raw"))
     parsed = F.from_json("raw", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     out = whole.filter(F.trim("raw") != "").withColumn("row", parsed)
     return out.select("source_file", (F.col("_i") + 1).alias("line_no"), "raw", "row", F.when(F.col("row").isNull() | F.col("row._corrupt").isNotNull(), "PARSE_ERROR").alias("error"))
@@ -39,7 +39,7 @@ def read_jsonl_numbered(spark: SparkSession, paths: list[str], schema: str) -> D
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(document_id, text): whole files; the id is the file's name."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("document_id"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("document_id"), F.col("value").alias("text"))
 
 
 def list_files(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
