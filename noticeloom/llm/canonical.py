@@ -29,6 +29,7 @@ from .edits import fold, levenshtein, reads_as, words
 
 BLANK = " \t\r\n"
 RESULT = "field_name string, value string, entry_id int, distance int, how string"
+RANKED = RESULT + ", rank int"
 
 
 class BKTree:
@@ -104,14 +105,15 @@ class Matcher:
         ids = {i for n, d in found if d == least for i in self.entries[n]}
         return (ids.pop(), least) if len(ids) == 1 else None
 
-    def match(self, value: str) -> tuple[int, int | None, str]:
+    def match(self, value: str) -> tuple[int, int | None, str, int]:
+        """(entry or 0, distance or cost of the reading, how, rank): a lower rank is a better match."""
         f = fold(value)
         for k, s in enumerate(forms(f)):
             hit = self.near(s)
             # a shortened reading must leave most of a word standing
             if hit and (k == 0 or len(s) > 4 or hit[1] == 0 and len(s) > 2):
-                return hit[0], hit[1], "edit" if k == 0 else "part"
-        for s in forms(f):
+                return hit[0], hit[1], "edit" if k == 0 else "part", 100 * k + hit[1]
+        for k, s in enumerate(forms(f)):
             w = words(s)
             letters = "".join(w)
             if len(letters) < 2 or (len(w) == 1 and len(letters) < 3 and "." not in f):
@@ -128,8 +130,8 @@ class Matcher:
                 least = min(costs.values())
                 ids = [i for i, c in costs.items() if c == least]
                 if len(ids) == 1:
-                    return ids[0], None, "abbreviation"
-        return 0, None, "none"
+                    return ids[0], least, "abbreviation", 100_000 + 100 * k + least
+        return 0, None, "none", 1_000_000
 
 
 def _names(reference: DataFrame) -> DataFrame:
@@ -140,9 +142,8 @@ def _names(reference: DataFrame) -> DataFrame:
 def _run(matchers: dict[str, Matcher], pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for field, value in zip(pdf["field_name"], pdf["value"]):
-        entry, d, how = matchers[field].match(value) if field in matchers else (0, None, "none")
-        rows.append((field, value, entry, d, how))
-    out = pd.DataFrame(rows, columns=["field_name", "value", "entry_id", "distance", "how"])
+        rows.append((field, value, *(matchers[field].match(value) if field in matchers else (0, None, "none", 1_000_000))))
+    out = pd.DataFrame(rows, columns=["field_name", "value", "entry_id", "distance", "how", "rank"])
     return out.astype({"distance": "Int32"})
 
 
@@ -165,7 +166,7 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = 50_
             for pdf in batches:
                 yield _run(matchers, pdf)
 
-        return values.select("field_name", "value").mapInPandas(run, RESULT)
+        return values.select("field_name", "value").mapInPandas(run, RANKED).drop("rank")
     shards = -(-names.count() // shard_entries)
     salts = 16
 
@@ -175,9 +176,11 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = 50_
     # a stated query set against the reference in blocks
     asked = values.select("field_name", "value", F.pmod(F.xxhash64("value"), F.lit(salts)).alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
     held = names.select("*", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("_salt"))
-    won = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(both, RESULT)
-    rank = F.struct((F.col("how") == "none"), (F.col("how") == "abbreviation"), (F.col("how") == "part"), F.coalesce("distance", F.lit(99)), "entry_id", "how", "distance")
-    return won.groupBy("field_name", "value").agg(F.min(rank).alias("_b")).select("field_name", "value", F.col("_b.entry_id").alias("entry_id"), F.col("_b.distance").alias("distance"), F.col("_b.how").alias("how"))
+    won = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(both, RANKED)
+    # the best of the shards' winners; winners of one rank but different entries leave the value unmatched
+    best = won.groupBy("field_name", "value").agg(F.min(F.struct("rank", "entry_id", "distance", "how")).alias("_b"), F.max(F.struct((-F.col("rank")).alias("r"), "entry_id")).alias("_t"))
+    clear = F.col("_b.entry_id") == F.col("_t.entry_id")
+    return best.select("field_name", "value", F.when(clear, F.col("_b.entry_id")).otherwise(0).alias("entry_id"), F.when(clear, F.col("_b.distance")).alias("distance"), F.when(clear, F.col("_b.how")).otherwise("none").alias("how"))
 
 
 def typed_values(df: DataFrame, fields: list[str], key: str = "document_id") -> DataFrame:
