@@ -85,6 +85,8 @@ def word_matches(a: str, b: str) -> int | None:
         return 0
     if abbreviates(a, b):
         return 2
+    if len(a) >= 4 and sorted(a) == sorted(b):  # letters that changed places count twice in the metric
+        return 2
     most = 0 if min(len(a), len(b)) < 4 else 1 if min(len(a), len(b)) < 6 else 2
     return 2 if most and levenshtein(a, b, most) <= most else None
 

@@ -52,21 +52,17 @@ def _lookup(word: str, full: list[str], short: dict[str, str], strict: bool = Fa
         return word
     if word in short:
         return short[word]
-    if len(word) >= 5 and not strict:
-        near = sorted((levenshtein(word, f, 2), f) for f in full)
-        if near and near[0][0] <= (1 if len(word) < 7 else 2):
-            return near[0][1]
-        for s, f in short.items():
-            if len(s) >= 5 and (levenshtein(word, s, 1) <= 1 or sorted(word) == sorted(s)):
-                return f
-    elif len(word) == 4 and not strict:
-        for f in full:
-            if levenshtein(word, f, 1) <= 1:
-                return f
-        for s, f in short.items():
-            if len(s) >= 4 and levenshtein(word, s, 1) <= 1:
-                return f
-    return None
+    if strict or len(word) < 4:
+        return None
+    best: tuple[int, str] | None = None
+    for form, meant in [*short.items(), *((f, f) for f in full)]:
+        if len(form) < 4:
+            continue
+        most = 2 if min(len(word), len(form)) >= 7 and form == meant else 1
+        d = 1 if sorted(word) == sorted(form) else levenshtein(word, form, most)
+        if d <= most and (best is None or d < best[0]):
+            best = (d, meant)
+    return best[1] if best else None
 
 
 def _post(ws: list[str]) -> list[str] | None:
