@@ -237,13 +237,14 @@ def segments_of(starts, letters, counts, sentence, scores, switch: float = 16.0)
     return out
 
 
-def fit(df: DataFrame, key: str = "document_id", text: str = "text", lang: str = "lang", train_rows: int = 3000) -> np.ndarray:
-    """Fits on at most 2 * train_rows labelled rows (expected: train_rows), chosen by a hash of the key."""
-    labelled = F.lower(F.btrim(F.col(lang))).isin(list(LANGUAGES)) & F.col(text).isNotNull()
+def fit(df: DataFrame, key: str = "document_id", text: str = "text", lang: str = "lang", train_rows: int = 3000, longest: int = 200_000) -> np.ndarray:
+    """Fits on at most 2 * train_rows labelled rows (expected: train_rows) of texts up to ``longest`` characters, chosen by a
+    hash of the key."""
+    labelled = F.lower(F.btrim(F.col(lang))).isin(list(LANGUAGES)) & (F.length(F.col(text)) <= longest)
     rows = df.select(lang).filter(F.lower(F.btrim(F.col(lang))).isin(list(LANGUAGES))).count()
     buckets = 1_000_000
     share = min(buckets, int(buckets * train_rows / max(1, rows)) + 1)
-    sample = df.filter(labelled & (F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(buckets)) < share)).select(F.substring(F.col(text), 1, 20_000).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).orderBy("k", "t").limit(2 * train_rows)
+    sample = df.filter(labelled & (F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(buckets)) < share)).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).orderBy("k", "t").limit(2 * train_rows)
     got = sample.toArrow()
     return train(got.column("t").to_pylist(), got.column("l").to_pylist())
 

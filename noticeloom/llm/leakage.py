@@ -222,7 +222,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     passage, for the region with the longest equal run, then the longest. Places count normalised characters;
     equal_words is min_words (or the item's length, if shorter) if that many consecutive words are equal, else 0."""
     ship(documents.sparkSession)
-    wanted = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_t")).filter(F.length(F.btrim("_t", F.lit(" \t\r\n"))) > 0)
+    wanted = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_t")).filter(F.length(F.btrim("_t", F.lit(" \t\r\n"))) > 0).distinct()
     blocks = max(1, -(-wanted.count() // block_items))
     kind, ikind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     src = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") >= q)
@@ -230,7 +230,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     found = None
     for n in range(blocks):
         block = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == n)
-        got = [(r[0], r[1]) for r in block.limit(4 * block_items).collect()]
+        got = [(r[0], r[1]) for r in block.limit(4 * block_items + 1).collect()]
+        if len(got) > 4 * block_items:  # hash blocks are far smaller, unless one id has very many texts
+            raise ValueError("too many texts under one item id for a block")
         held = documents.sparkSession.sparkContext.broadcast(got)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

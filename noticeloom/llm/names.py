@@ -301,7 +301,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     asked = classes.mapInPandas(lambda b: keys(b, False), "class_key string, segment string")
     return (
         held.withColumnRenamed("class_key", "_x")
-        .join(asked.withColumnRenamed("class_key", "_y"), "segment")
+        .join(asked.withColumnRenamed("class_key", "_y").hint("merge"), "segment")  # compresses too well for its size to tell
         .filter("_x <> _y")
         .select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
         .distinct()
@@ -316,7 +316,7 @@ def _whole(r: dict) -> bool:
 def links(classes: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidate pairs whose readings name the same."""
     parts = F.struct(*_PARTS)
-    sides = candidates.join(classes.select(F.col("class_key").alias("a"), parts.alias("ra")), "a").join(classes.select(F.col("class_key").alias("b"), parts.alias("rb")), "b")
+    sides = candidates.join(classes.select(F.col("class_key").alias("a"), parts.alias("ra")).hint("merge"), "a").join(classes.select(F.col("class_key").alias("b"), parts.alias("rb")).hint("merge"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -176,8 +176,9 @@ def lengths(df: DataFrame, source: str = "source", text: str = "text") -> DataFr
     )
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", train_rows: int = 6000) -> DataFrame:
-    """(key, source, score, truncated) for every row with a non-blank text. Rows are not merged."""
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", train_rows: int = 6000, longest: int = 200_000) -> DataFrame:
+    """(key, source, score, truncated) for every row with a non-blank text. Rows are not merged. The model is fitted on at most
+    2 * train_rows rows (expected: train_rows) of texts up to ``longest`` characters."""
     ship(df.sparkSession)
     base = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text")).filter(F.length(F.btrim("_text", F.lit(" \t\r\n"))) > 0)
     stats = lengths(df, source, text)
@@ -188,7 +189,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     share = min(1.0, train_rows / max(1, rows))
     buckets = 1_000_000
     sample = (
-        base.filter(F.pmod(F.xxhash64(F.lit(11), "_key"), F.lit(buckets)) < int(share * buckets))
+        base.filter((F.pmod(F.xxhash64(F.lit(11), "_key"), F.lit(buckets)) < int(share * buckets)) & (F.length("_text") <= longest))
         .join(stats, F.col("_source").eqNullSafe(F.col("_s")), "left")
         .select(F.col("_text").alias("text"), F.length("_text").alias("n"), F.coalesce("_limit", F.lit(0)).alias("limit"), F.coalesce("_limit_at", F.lit(0.0)).alias("limit_at"), F.coalesce("_rest", F.lit(0.0)).alias("rest"))
         .orderBy(F.xxhash64("text"))
