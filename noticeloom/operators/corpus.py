@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grouped import first_by
@@ -36,8 +36,6 @@ def quota_sample(df: DataFrame, order: list[Column], kind: str = "document_type"
     fit = df.withColumn("canonical_type", canonical_type(F.col(kind))).filter(F.col("canonical_type").isNotNull() & F.length(F.col(text)).between(SHORTEST, LONGEST))
     most = max(q for q, _ in QUOTAS.values())
     ranked = first_by(fit, ["canonical_type"], order, most)
-    from pyspark.sql import Window
-
     r = F.row_number().over(Window.partitionBy("canonical_type").orderBy(*order))
     quota = None
     for name, (q, _) in QUOTAS.items():
@@ -56,15 +54,10 @@ def backfill(sample: DataFrame, second: DataFrame, order: list[Column], kind: st
     """Rows of a second source for what the quota of one type still lacks: the first text column of 200 characters or more, cut
     at 8000, under the first title there is."""
     text = F.coalesce(*[F.when(F.length(c) >= SHORTEST, F.substring(F.col(c), 1, LONGEST)) for c in text_columns])
-    lack = sample.filter(F.col("canonical_type") == kind).agg((F.lit(QUOTAS[kind][0]) - F.count("*")).alias("_lack"))
+    lack = max(0, QUOTAS[kind][0] - sample.filter(F.col("canonical_type") == kind).count())
     title = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in title_columns], F.lit("Untitled"))
-    most = QUOTAS[kind][0]
-    picked = second.select(text.alias("text"), title.alias("document_title"), *[F.struct(*order).alias("_o")]).filter("text is not null").orderBy("_o").limit(most)
-    numbered = first_by(picked.withColumn("_one", F.lit(1)), ["_one"], [F.col("_o")], most)
-    from pyspark.sql import Window
-
-    numbered = numbered.withColumn("_r", F.row_number().over(Window.partitionBy("_one").orderBy("_o")))
-    return numbered.crossJoin(F.broadcast(lack)).filter(F.col("_r") <= F.col("_lack")).select("text", "document_title", F.lit(kind).alias("canonical_type"))
+    picked = second.select(text.alias("text"), title.alias("document_title"), F.struct(*order).alias("_o")).filter("text is not null")
+    return picked.orderBy("_o").limit(lack).select("text", "document_title", F.lit(kind).alias("canonical_type"))
 
 
 def target_rows(df: DataFrame, kind: str = "document_type", title: str = "document_title", text: str = "text") -> DataFrame:

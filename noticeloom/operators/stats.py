@@ -60,15 +60,18 @@ def best_threshold(sweep: DataFrame, target: float) -> DataFrame:
     return sweep.filter(F.col("precision") >= target).orderBy(F.desc("coverage"), F.asc("step")).limit(1)
 
 
-def calibration_bins(df: DataFrame, bins: int = 10, conf: str = "confidence", correct: str = "is_correct") -> DataFrame:
-    """(bin, n, accuracy, mean_confidence) for bins (lo, hi]; a confidence of 0 is in none."""
+def calibration_bins(df: DataFrame, bins: int = 10, conf: str = "confidence", correct: str = "is_correct", zero: bool = False) -> DataFrame:
+    """(bin, n, accuracy, mean_confidence) for bins (lo, hi]; a confidence of 0 is in none, or with ``zero`` in bin 0."""
     b = F.least(F.lit(bins), F.ceil(F.round(F.col(conf) * bins, 9))).cast("int")
-    return df.filter(F.col(conf) > 0).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"), F.avg(conf).alias("mean_confidence"))
+    rows = df.filter(F.col(conf) >= 0) if zero else df.filter(F.col(conf) > 0)
+    return rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"), F.avg(conf).alias("mean_confidence"))
 
 
-def ece(bins: DataFrame, total: DataFrame) -> DataFrame:
-    """Expected calibration error over all rows. total: one row with column rows."""
-    return bins.agg(F.sum(F.abs(F.col("accuracy") - F.col("mean_confidence")) * F.col("n")).alias("_s")).crossJoin(F.broadcast(total)).select((F.coalesce("_s", F.lit(0.0)) / F.col("rows")).alias("ece"))
+def ece(df: DataFrame, bins: int = 10, conf: str = "confidence", correct: str = "is_correct") -> DataFrame:
+    """Expected calibration error: the bins' gaps weighted by their share of all rows."""
+    b = calibration_bins(df, bins, conf, correct, zero=True)
+    gap = F.when(F.col("bin") > 0, F.abs(F.col("accuracy") - F.col("mean_confidence")) * F.col("n")).otherwise(0.0)
+    return b.agg(F.coalesce(F.try_divide(F.sum(gap), F.sum("n")), F.lit(0.0)).alias("ece"))
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:

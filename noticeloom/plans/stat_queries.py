@@ -170,8 +170,7 @@ def ece_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ece(spark: SparkSession, d: str) -> DataFrame:
-    p = _predictions(spark, d)
-    return stats.ece(stats.calibration_bins(p), p.agg(F.count("*").alias("rows"))).select(F.round("ece", 6).alias("ece"))
+    return stats.ece(_predictions(spark, d)).select(F.round("ece", 6).alias("ece"))
 
 
 def _logits(spark: SparkSession, d: str) -> DataFrame:
