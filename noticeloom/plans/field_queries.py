@@ -169,12 +169,12 @@ def latest_version(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Titles, authorities and dates of the metadata found in the notices' texts; several extractions of one notice give a row each."""
-    c = read(spark, d, "annotation_corpus").select("document_id", "text").distinct()
-    m = read(spark, d, "extracted_metadata").select("document_id", "notice_title", "issuing_authority", "notice_ref_no").distinct()
-    j = c.join(m, "document_id").withColumn("spans", annotate.align_values(None, {"notice_title": "TITLE", "issuing_authority": "AUTHORITY", "notice_ref_no": "DOCUMENT"}))
+    """Titles, contacts and numbers given as strings, found again in the texts; of overlapping ones the first is kept."""
+    docs = _docs(spark, d)
+    w = field_pivot(spark, d).select(F.col("doc_id").alias("_k"), "title", "contact", "notice_number")
+    j = docs.join(w, F.col("doc_id") == F.col("_k")).withColumn("spans", annotate.align_values(None, {"title": "TITLE", "contact": "CONTACT", "notice_number": "DOCUMENT"}))
     kept = j.withColumn("spans", annotate.keep_disjoint(F.col("spans")))
-    return kept.select("document_id", F.explode("spans").alias("_s")).select("document_id", "_s.*").distinct()
+    return kept.select("doc_id", F.explode("spans").alias("_s")).select("doc_id", "_s.*")
 
 
 # ---- SQL
