@@ -7,8 +7,9 @@ them, cut by us inside a word or sentence, are the positives. Since some of the
 truncated themselves, those which the first model calls cut leave the intact side before the next fit.
 The length statistics come from all rows; every row is scored.
 
-A source's limit shows as a spike in its length histogram: ``at`` = rows of the source with exactly this
-length, against ``rest`` = the largest count at any other length of that source.
+A source's limits show as spikes in its length histogram, which counts distinct texts, so that exact copies are
+no evidence: ``at`` = distinct texts of the source with exactly this length, against ``rest`` = the largest count at
+any length that is no limit. A source may have several limits; a text is seen against the next one from its length up.
 
 Null, empty and blank texts are no truncated texts. A null source is a source of its own.
 """
@@ -119,10 +120,15 @@ def cut_copy(text: str, seed: int, limit: float) -> str | None:
     return head
 
 
+def _over(n: int, limits: list[int]) -> int:
+    """Length minus the next limit from it up, else minus the largest; -99 without limits."""
+    return n - min((x for x in limits if x >= n), default=max(limits)) if len(limits) else -99
+
+
 def train(sample: pd.DataFrame, rounds: int = 3, doubt: float = 0.4, seed: int = 5) -> np.ndarray:
-    """sample: text, n, at, rest, limit, limit_at. Returns the weights.
+    """sample: text, n, limits, limit_at. Returns the weights.
 
-    Texts at their source's limit are no examples of intact ones. A share of the copies, and a much
+    Texts at a limit of their source are no examples of intact ones. A share of the copies, and a much
     smaller one of the intact texts, is given the length features of a text at a limit. The texts taken
     for intact are judged by models that have not seen them (two folds); doubtful ones leave.
     """
@@ -130,17 +136,17 @@ def train(sample: pd.DataFrame, rounds: int = 3, doubt: float = 0.4, seed: int =
     neg, pos, pos_of = [], [], []
     at_limits = (float(v) for v in iter(lambda: rng.integers(3, 200), None))
     for i, r in enumerate(sample.itertuples()):
-        if r.limit > 0 and r.limit - 3 <= r.n <= r.limit:
+        if -3 <= _over(r.n, r.limits) <= 0:
             neg.append(None)
         else:
             opened = max(0, r.text.count("(") - r.text.count(")"))
-            at, rest, over = (next(at_limits), 1.0, 0) if rng.random() < 0.05 else (1.0, r.limit_at, r.n - r.limit if r.limit > 0 else -99)
+            at, rest, over = (next(at_limits), 1.0, 0) if rng.random() < 0.05 else (1.0, r.limit_at, _over(r.n, r.limits))
             neg.append(features(r.text[-TAIL:], r.n, at, rest, over, opened))
         for j in range(2):
-            c = cut_copy(r.text, zlib.crc32(r.text[:200].encode("utf-8", "surrogatepass")) * 7 + 31 * j, r.limit)
+            c = cut_copy(r.text, zlib.crc32(r.text[:200].encode("utf-8", "surrogatepass")) * 7 + 31 * j, max((x for x in r.limits if x < r.n), default=0))
             if c:
                 n = len(c)
-                at, rest, over = (next(at_limits), 1.0, -int(rng.integers(0, 3))) if rng.random() < 0.3 else (1.0, r.limit_at, n - r.limit if r.limit > 0 else -99)
+                at, rest, over = (next(at_limits), 1.0, -int(rng.integers(0, 3))) if rng.random() < 0.3 else (1.0, r.limit_at, _over(n, r.limits))
                 pos.append(features(c[-TAIL:], n, at if over == 0 else 1.0, rest if over == 0 else at, over, max(0, c.count("(") - c.count(")"))))
                 pos_of.append(i)
     keep = np.array([x is not None for x in neg], dtype=bool)
@@ -167,13 +173,35 @@ def train(sample: pd.DataFrame, rounds: int = 3, doubt: float = 0.4, seed: int =
 
 
 def lengths(df: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """Per source, over all rows: its most frequent length, how often that and the next most frequent one occur."""
-    n = df.filter(F.length(F.col(text)) > 0).groupBy(F.col(source).alias("_s"), F.length(F.col(text)).alias("_n")).agg(F.count("*").alias("_c"))
-    ranked = n.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("_c"), F.desc("_n")))).filter("_r <= 2")
-    first = F.col("_r") == 1
-    return ranked.groupBy("_s").agg(
-        F.max(F.when(first, F.col("_n"))).alias("_limit"), F.max(F.when(first, F.col("_c"))).alias("_limit_at"), F.coalesce(F.max(F.when(~first, F.col("_c"))), F.lit(0)).alias("_rest")
+    """Per source, over all rows: its limits as (length, distinct texts, rest) by length, and the largest count of any length.
+
+    With the lengths in falling order of their counts, the limits are those before the last fall to a half or less from a
+    count of at least 3, unless they outnumber the other lengths by more than one (then the source has few lengths by nature).
+    A length with 10 texts and twice the count of any other within 64 characters is a limit, too: a rare one of a large source.
+    """
+    n = (
+        df.filter(F.length(F.col(text)) > 0)
+        .select(F.col(source).alias("_s"), F.length(F.col(text)).alias("_n"), F.xxhash64(F.col(text)).alias("_h"))
+        .distinct()
+        .groupBy("_s", "_n")
+        .agg(F.count("*").alias("_c"))
+    )
+    whole = Window.partitionBy("_s")
+    ranks = whole.orderBy(F.desc("_c"), F.desc("_n"))
+    near = whole.orderBy("_n")
+    ranked = n.select(
+        "*",
+        F.row_number().over(ranks).alias("_r"),
+        F.coalesce(F.lead("_c").over(ranks), F.lit(0)).alias("_next"),
+        F.count("*").over(whole).alias("_k"),
+        F.coalesce(F.greatest(F.max("_c").over(near.rangeBetween(-64, -1)), F.max("_c").over(near.rangeBetween(1, 64))), F.lit(0)).alias("_near"),
     )
+    falls = (F.col("_c") >= 3) & (F.col("_c") >= 2 * F.col("_next")) & (2 * F.col("_r") <= F.col("_k") + 1)
+    ranked = ranked.withColumn("_last", F.coalesce(F.max(F.when(falls, F.col("_r"))).over(whole), F.lit(0)))
+    ranked = ranked.withColumn("_spike", (F.col("_r") <= F.col("_last")) | ((F.col("_c") >= 10) & (F.col("_c") >= 2 * F.col("_near"))))
+    rest = F.when(F.col("_r") <= F.col("_last"), F.coalesce(F.max(F.when(~F.col("_spike"), F.col("_c"))).over(whole), F.lit(0))).otherwise(F.col("_near"))
+    spike = F.when(F.col("_spike"), F.struct(F.col("_n").alias("n"), F.col("_c").cast("double").alias("at"), rest.cast("double").alias("rest")))
+    return ranked.select("_s", "_c", spike.alias("_l")).groupBy("_s").agg(F.sort_array(F.collect_list("_l")).alias("_limits"), F.max("_c").cast("double").alias("_limit_at"))
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", train_rows: int = 6000, longest: int = 200_000) -> DataFrame:
@@ -181,17 +209,14 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     2 * train_rows rows (expected: train_rows) of texts up to ``longest`` characters."""
     ship(df.sparkSession)
     base = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text")).filter(F.length(F.btrim("_text", F.lit(" \t\r\n"))) > 0)
-    stats = lengths(df, source, text)
-    # a limit has a spike: clearly more rows than any other length of the source
-    spiky = (F.col("_limit_at") >= 3) & (F.col("_limit_at") >= 2 * F.col("_rest"))
-    stats = stats.select("_s", F.when(spiky, F.col("_limit")).otherwise(0).alias("_limit"), F.col("_limit_at").cast("double"), F.col("_rest").cast("double"))
+    stats = lengths(base, "_source", "_text")
     rows = df.count()
     share = min(1.0, train_rows / max(1, rows))
     buckets = 1_000_000
     sample = (
         base.filter((F.pmod(F.xxhash64(F.lit(11), "_key"), F.lit(buckets)) < int(share * buckets)) & (F.length("_text") <= longest))
         .join(stats, F.col("_source").eqNullSafe(F.col("_s")), "left")
-        .select(F.col("_text").alias("text"), F.length("_text").alias("n"), F.coalesce("_limit", F.lit(0)).alias("limit"), F.coalesce("_limit_at", F.lit(0.0)).alias("limit_at"), F.coalesce("_rest", F.lit(0.0)).alias("rest"))
+        .select(F.col("_text").alias("text"), F.length("_text").alias("n"), F.coalesce("_limits.n", F.array().cast("array<int>")).alias("limits"), F.coalesce("_limit_at", F.lit(0.0)).alias("limit_at"))
         .orderBy(F.xxhash64("text"))
         .limit(2 * train_rows)  # the documented bound of the training sample
         .toPandas()
@@ -206,14 +231,16 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     size = F.length("_text")
     count = lambda c: F.length("_text") - F.length(F.replace("_text", F.lit(c)))
     lean = base.select("_key", "_source", F.substring("_text", -TAIL, TAIL).alias("_tail"), size.alias("_n"), F.greatest(count("(") - count(")"), F.lit(0)).alias("_open"))
-    at_limit = F.col("_n") == F.col("_limit")
-    ready = lean.join(stats, F.col("_source").eqNullSafe(F.col("_s")), "left").select(
+    # the next limit from the length up, else the largest; null without limits
+    limit = F.coalesce(F.get(F.filter("_limits", lambda x: x["n"] >= F.col("_n")), F.lit(0)), F.get("_limits", F.size("_limits") - 1))
+    at_limit = F.col("_n") == F.col("_limit.n")
+    ready = lean.join(stats, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("_limit", limit).select(
         "_key", "_source",
         probability(
             "_tail", "_n",
-            F.when(at_limit, F.col("_limit_at")).otherwise(F.lit(1.0)),
-            F.when(at_limit, F.coalesce("_rest", F.lit(0.0))).otherwise(F.coalesce("_limit_at", F.lit(0.0))),
-            F.when(F.col("_limit") > 0, (F.col("_n") - F.col("_limit")).cast("double")).otherwise(F.lit(-99.0)),
+            F.when(at_limit, F.col("_limit.at")).otherwise(F.lit(1.0)),
+            F.when(at_limit, F.col("_limit.rest")).otherwise(F.coalesce("_limit_at", F.lit(0.0))),
+            F.coalesce((F.col("_n") - F.col("_limit.n")).cast("double"), F.lit(-99.0)),
             "_open",
         ).alias("_p"),
     )

@@ -402,3 +402,16 @@ def test_truncation(spark):
     by = {r["source"]: r["share"] for r in truncation.by_source(got).collect()}
     assert by["s1"] > by["s2"] and got.count() == 700
     assert truncation.score(df.limit(0)).count() == 0
+
+
+def test_limits_of_distinct_texts(spark):
+    """Copies neither make nor hide a limit, and a source may have several."""
+    text = lambda n, i: f"{i:04d}" + "x" * (n - 4)
+    rows = [("hidden", text(1200, i)) for i in range(4)] + [("hidden", text(404, 0))] * 3 + [("hidden", text(700 + i, i)) for i in range(3)]
+    rows += [("copied", text(900, 0))] * 9 + [("copied", text(500 + 7 * i, i)) for i in range(6)]
+    rows += [("two", text(1000, i)) for i in range(30)] + [("two", text(1024, i)) for i in range(20)] + [("two", text(300 + i, i)) for i in range(60)]
+    rows += [(None, text(600, i)) for i in range(5)] + [(None, text(310, 1)), ("short", "ab")]
+    rows += [("large", text(200 + i, 100 * i + j)) for i in range(50) for j in range(15)] + [("large", text(3000, i)) for i in range(12)]
+    rows += [("few", text(40 + i, 100 * i + j)) for i, n in enumerate((20, 18, 15, 10, 3, 1)) for j in range(n)]
+    got = truncation.lengths(spark.createDataFrame(rows, "source string, text string")).collect()
+    assert {r["_s"]: [x["n"] for x in r["_limits"]] for r in got} == {"hidden": [1200], "copied": [], "two": [1000, 1024], None: [600], "short": [], "large": [3000], "few": []}
