@@ -8,11 +8,14 @@ q-grams, and these lie on diagonals (place in the document minus place in the it
    at a fixed cost per character) and looked up, first in a bit table, then in the sorted index.
 2. Windows of a document in which too few q-grams occur in any item are left out.
 3. What remains meets the index's postings: hits are counted by item in diagonal bands that overlap, so that
-   every passage lies whole in one of them. A band keeps its region if the count meets the edit-budget bound.
-4. Regions are verified by banded alignment, and the longest run of equal words is measured.
+   every passage lies whole in one of them. A window as long as the longest passage is slid over each band; windows
+   whose count meets the edit-budget bound make the regions, however wide the gaps that edits open.
+4. Regions are verified by banded alignment, and the longest run of equal words is measured. Of a region that exceeds
+   the budget as a whole, every passage in it is aligned by itself.
 
 The shortest passage looked for has ``min_words`` words of an item (all of a shorter item); an edit budget of
-``edits`` per character is allowed for. A run of ``min_words`` equal words is always found: its q-grams all
+``edits`` per character is allowed for. Passages of fewer than twice as many words are looked for: of a longer one
+within the budget, a part of such a length is within it, too. A run of ``min_words`` equal words is always found: its q-grams all
 lie on one diagonal and are at least as many as the bound asks for.
 
 Items are a stated query set: up to ``block_items`` of them are shipped to the workers at a time (checked), more
@@ -103,12 +106,30 @@ def normalise(text: str) -> str:
     return cp[:-1].tobytes().decode("utf-32-le", "surrogatepass").strip(" ")
 
 
+def _nearest(pattern: np.ndarray, rows: list[int], text: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """For each of the first ``rows`` characters of the pattern: (least edits to any substring of the text, where the last such one ends).
+    Ends early once all are above ``most``."""
+    places, wanted, out = np.arange(len(text) + 1), set(rows), []
+    d = np.zeros(len(text) + 1, dtype=np.int64)
+    for i, c in enumerate(pattern, 1):
+        new = d + 1
+        np.minimum(new[1:], d[:-1] + (text != c), out=new[1:])
+        d = np.minimum.accumulate(new - places) + places
+        least = int(d.min())
+        if least > most:
+            break
+        if i in wanted:
+            out.append((least, int(np.flatnonzero(d == least)[-1])))
+    return out
+
+
 class ItemIndex:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, min_words: int, edits: float):
-        self.q, self.min_words = q, min_words
+        self.q, self.min_words, self.edits = q, min_words, edits
         self.ids, self.texts, self.least, self.budget, self.runs, self.spans = [], [], [], [], [], []
+        self.most, self.reach = [], []
         hashes, owner, place = [], [], []
         for i, text in items:
             s = normalise(text)
@@ -119,11 +140,12 @@ class ItemIndex:
             ends = np.cumsum([len(x) + 1 for x in w])
             starts = ends - np.array([len(x) + 1 for x in w])
             length = int((ends[k - 1 :] - 1 - starts[: len(w) - k + 1]).min())  # of the shortest passage
-            budget = int(edits * length)
-            while budget and length + 1 - q * (budget + 1) < 1:
-                budget -= 1
-            self.least.append(max(1, length + 1 - q * (budget + 1)))
-            self.budget.append(budget)
+            each = np.unique(np.concatenate([ends[n - 1 :] - 1 - starts[: len(w) - n + 1] for n in range(k, min(2 * k - 1, len(w)) + 1)]))
+            allowed = self.allowed(each)
+            self.least.append(int(np.maximum(1, each + 1 - q * (allowed + 1)).min()))
+            self.budget.append(int(self.allowed(np.array([length]))[0]))
+            self.most.append(int(allowed.max()))
+            self.reach.append(int((each + allowed).max()) - q + 1)  # q-grams in the longest passage, as it stands in a document
             self.runs.append({" ".join(w[j : j + k]) for j in range(len(w) - k + 1)})
             h = qgram_hashes(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), q)
             hashes.append(h)
@@ -142,11 +164,13 @@ class ItemIndex:
         self.keys, self.first = np.unique(h, return_index=True)
         self.last = np.append(self.first[1:], len(h))
         self.bits[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        # windows: the shortest passage of all, and the fewest q-grams any passage keeps in it
-        worst = max(self.budget)
-        self.window = max(1, min(self.spans) - q + 1)
-        self.fewest = max(1, min(self.spans) + 1 - q * (worst + 1))
-        self.least, self.budget = np.array(self.least), np.array(self.budget)
+        # windows: the longest passage of all, and the fewest q-grams any passage keeps
+        self.window, self.fewest = max(self.reach), min(self.least)
+        self.least, self.budget, self.most, self.reach = np.array(self.least), np.array(self.budget), np.array(self.most), np.array(self.reach)
+
+    def allowed(self, length: np.ndarray) -> np.ndarray:
+        """Edits allowed in passages of these lengths; some q-gram must stay whole."""
+        return np.minimum((self.edits * length).astype(np.int64), np.maximum(0, length // self.q - 1))
 
     def regions(self, cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows (item, document place from, to, item place from, to) of regions that meet their bounds."""
@@ -179,7 +203,7 @@ class ItemIndex:
             return none
         pick = np.repeat(self.first[row] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item, ip, dp = self.owner[pick].astype(np.int64), self.place[pick].astype(np.int64), np.repeat(at, n).astype(np.int64)
-        width = self.budget[item].astype(np.int64) + 1
+        width = self.most[item].astype(np.int64) + 1
         band = (dp - ip + 8192 * width) // width
         # every hit lies in two bands of double width
         item, ip, dp, band = np.tile(item, 2), np.tile(ip, 2), np.tile(dp, 2), np.concatenate([band, band - 1])
@@ -187,11 +211,25 @@ class ItemIndex:
         item, ip, dp, band = item[order], ip[order], dp[order], band[order]
         new = np.ones(len(item), dtype=bool)
         doc = np.searchsorted(offsets, dp, "right")
-        new[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (doc[1:] != doc[:-1]) | (dp[1:] - dp[:-1] > 2 * self.q)
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(item))
-        keep = (end - start) >= self.least[item[start]]
-        start, end = start[keep], end[keep]
+        new[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (doc[1:] != doc[:-1])
+        # hits within one window that meets the bound belong together
+        at = (np.cumsum(new) - 1) * (len(h) + self.window + 1) + dp
+        stop = np.searchsorted(at, at + self.reach[item])
+        full = np.flatnonzero(stop - np.arange(len(at)) >= self.least[item])
+        inside, joined = np.zeros(len(at) + 1, dtype=np.int32), np.zeros(len(at) + 1, dtype=np.int32)
+        np.add.at(inside, full, 1)
+        np.add.at(inside, stop[full], -1)
+        np.add.at(joined, full + 1, 1)
+        np.add.at(joined, stop[full], -1)
+        inside, joined = np.cumsum(inside)[:-1] > 0, np.cumsum(joined)[:-1] > 0
+        start = np.flatnonzero(inside & ~joined)
+        end = np.flatnonzero(inside & np.append(~joined[1:], True)) + 1
+        # runs without wide gaps are tried by themselves, too
+        new[1:] |= dp[1:] - dp[:-1] > 2 * self.q
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(item))
+        keep = (last - first) >= self.least[item[first]]
+        start, end = np.concatenate([start, first[keep]]), np.concatenate([end, last[keep]])
         if not len(start):
             return none
         out = np.empty((len(start), 5), dtype=np.int64)
@@ -199,8 +237,34 @@ class ItemIndex:
             out[k] = item[a], dp[a], dp[b - 1] + self.q, ip[a:b].min(), ip[a:b].max() + self.q
         return np.unique(out, axis=0)
 
-    def verify(self, doc: str, r: np.ndarray) -> tuple[int, int] | None:
-        """(edits, words in the longest equal run up to min_words) if the region is a leaked passage."""
+    def passage(self, doc: str, r: np.ndarray) -> tuple[int, int, int, int] | None:
+        """(edits, 0, from, to): the longest passage within its budget in or round the region."""
+        item, a, b, c, d = (int(x) for x in r)
+        most, text = int(self.most[item]), self.texts[item]
+        margin = (self.q + 1) * most  # what edits at a passage's ends may take from its q-grams
+        a, c = max(0, a - margin), max(0, c - margin)
+        x = np.array([ord(ch) for ch in doc[a : b + margin]], dtype=np.int64)
+        y = np.array([ord(ch) for ch in text], dtype=np.int64)
+        ends = np.append(np.flatnonzero(y == 32), len(y))
+        starts = np.append(0, ends[:-1] + 1)
+        k = min(self.min_words, len(ends))
+        best = None
+        for i in range(len(ends) - k + 1):
+            if starts[i] < c or ends[i + k - 1] > d + margin:
+                continue
+            to = ends[i + k - 1 : i + 2 * k - 1]
+            rows = (to[to <= d + margin] - starts[i]).tolist()
+            for n, (edits, end) in zip(rows, _nearest(y[starts[i] : starts[i] + rows[-1]], rows, x, most)):
+                if edits <= int(self.allowed(np.array([n]))[0]) and (best is None or (n, -edits) > best[:2]):
+                    best = n, -edits, int(starts[i]), end
+        if best is None:
+            return None
+        n, edits, at, end = best
+        back = _nearest(y[at : at + n][::-1], [n], x[:end][::-1], most)  # from the end backwards
+        return -edits, 0, a + end - back[0][1], a + end
+
+    def verify(self, doc: str, r: np.ndarray) -> tuple[int, int, int, int] | None:
+        """(edits, words in the longest equal run up to min_words, from, to) if there is a leaked passage in the region."""
         item, a, b, c, d = (int(x) for x in r)
         # whole words round the region
         a = doc.rfind(" ", 0, a + 1) + 1
@@ -214,7 +278,7 @@ class ItemIndex:
         allowed = max(int(self.budget[item]), int(len(y) * int(self.budget[item]) / max(1, self.spans[item])))
         edits = 0 if x == y else banded(x, y, allowed)
         whole = min(len(x), len(y)) >= self.spans[item] - int(self.budget[item])  # as long as a passage looked for
-        return (edits, run) if run or (whole and edits <= allowed) else None
+        return (edits, run, int(r[1]), int(r[2])) if run or (whole and edits <= allowed) else self.passage(doc, r)
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", q: int = 12, min_words: int = 12, edits: float = 0.04, block_items: int = 20_000) -> DataFrame:
@@ -276,7 +340,7 @@ def _search(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int,
                     at[1] -= lo
                     at[2] -= lo
                     if (v := index.verify(text, at)) is not None:
-                        yield a + int(k), int(r[0]), int(at[1]), int(at[2]), v[0], v[1]
+                        yield a + int(k), int(r[0]), v[2], v[3], v[0], v[1]
         a = b
 
 

@@ -358,6 +358,39 @@ def test_leaks_with_edits(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)] and 0 < got[0]["edits"] <= 6
 
 
+def test_leaks_whose_edits_open_gaps():
+    """Each passage of 12 words or more within the budget is found, wherever its edits are and whatever surrounds it."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 6)))
+    some = lambda n: " ".join(word() for _ in range(n))
+
+    def edited(t, places):
+        for p in places:
+            t = t[:p] + "z" + t[p + 1 :]
+        return t
+
+    shortest = "abcd " * 11 + "efghi"  # 60 characters, 2 edits
+    shortest = " ".join(w[:3] + "qrstuvwxyz"[i % 10] for i, w in enumerate(shortest.split()))
+    shortest += "x" * (60 - len(shortest))
+    cases = [(shortest, some(9) + " " + edited(shortest, (23, 35)) + " " + some(9), shortest)]
+    for _ in range(30):
+        w = [word() for _ in range(40)]
+        n = rng.randint(12, 30)
+        part = " ".join(w[5 : 5 + n])
+        k = int(0.04 * len(part))
+        first = rng.randint(0, len(part) - 1 - 12 * k)
+        gap = rng.randint(8, 12)
+        cases.append((" ".join(w), some(9) + " " + edited(part, [first + gap * j for j in range(k)]) + " " + some(9), part))
+    # one edit in each five-word stretch of the whole, but none that counts too much in 12 words of it
+    w = [word() + "abc" for _ in range(36)]
+    whole = " ".join(w)
+    dense = " ".join(x if 12 <= i < 24 and i != 18 else x[:-1] + "z" for i, x in enumerate(w) if i % 3 or 12 <= i < 24)
+    cases.append((whole, dense, " ".join(w[12:24])))
+    index = leakage.ItemIndex([(i, c[0]) for i, c in enumerate(cases)], 12, 12, 0.04)
+    got = {(row, item): (a, b, e) for row, item, a, b, e, _ in leakage._search(index, [c[1] for c in cases])}
+    assert {(i, i) for i in range(len(cases))} <= set(got) and len(got) == len(cases)
+
+
 def test_qgram_hashes_do_not_depend_on_place():
     cp = np.frombuffer("abcabcabcdabcabc".encode("utf-32-le"), dtype=np.uint32)
     h = leakage.qgram_hashes(cp, 3)
