@@ -56,7 +56,7 @@ def bpe_size(path: str, pattern: str | None = None):
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_items: int, attention: float, weights=(1.0, 0.25, 0.25), rule: str = "residual") -> np.ndarray:
-    """The container of each item, numbered from 0. Items must not exceed the capacity."""
+    """The container of each item, numbered from 0. Items must not exceed the capacity; one whose square exceeds ``attention`` is alone."""
     order = np.argsort(-sizes, kind="stable")
     out = np.empty(len(sizes), dtype=np.int64)
     cap = np.array([capacity, max_items, attention], dtype=np.float64)
@@ -80,7 +80,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_items: int, attention: float,
             live, made = live + 1, made + 1
         room[best] -= need
         out[k] = ids[best]
-        if room[best, 0] < max(least, 1e-9) or room[best, 1] < 1:  # full: the last open one takes its place
+        if room[best, 0] < max(least, 1e-9) or room[best, 1] < 1 or room[best, 2] < least * least:  # full: the last open one takes its place
             live -= 1
             room[best], ids[best] = room[live], ids[live]
     return out
@@ -98,11 +98,12 @@ def items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 512, max_items: int = 64, attention: float | None = None, size=pattern_size, shard_items: int = 8192, rule: str = "residual") -> DataFrame:
     """(container_id, key, piece_no, token_start, n_tokens): every document placed once, divided only if
     longer than ``capacity``. container_id is unique over all shards and repeatable. ``attention`` bounds the sum of
-    squared lengths and is at least capacity squared, else a full-length item would fit nowhere."""
+    squared lengths; an item whose own square exceeds it has a container alone. Its default, capacity squared, is implied
+    by the token capacity and only shifts the score; lower values bind."""
     ship(df.sparkSession)
     attention = float(capacity * capacity if attention is None else attention)
-    if attention < capacity * capacity:
-        raise ValueError("the attention capacity must admit one full item")
+    if attention <= 0:
+        raise ValueError("the attention capacity must be positive")
     found = items(df, key, text, capacity, size)
     kind = found.schema[key].dataType.simpleString()
     shards = max(1, -(-df.count() // shard_items))

@@ -315,6 +315,18 @@ def test_packing(spark):
     assert pack.pack(df.limit(0)).count() == 0
 
 
+def test_attention_capacity_binds(spark):
+    rows = [(i, "w " * n) for i, n in enumerate([100] * 31 + [400] * 3 + [512, 600, 0, 0] + [10] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in ("residual", "dot"):
+        by = defaultdict(list)
+        for r in pack.pack(df, attention=2 * 100 * 100, rule=rule).collect():
+            by[r["container_id"]].append(r["n_tokens"])
+        assert all(sum(v) <= 512 and (len(v) == 1 or sum(n * n for n in v) <= 20_000) for v in by.values())
+        assert sum(map(sum, by.values())) == sum(len(t.split()) for _, t in rows)
+        assert Counter(n for v in by.values() if len(v) == 1 for n in v)[400] == 3
+
+
 def test_pattern_size(spark):
     df = spark.createDataFrame([("a, b!!c\td", 7), (None, 0), ("", 0), (" \n", 0), ("é[x]", 4)], "t string, n int")
     assert df.filter(pack.pattern_size(F.col("t")) != F.col("n")).count() == 0
