@@ -3,7 +3,8 @@
 Every distinct raw value is read once: lower case, look-alike digits, honorifics and "(HQ)" off, then as an
 office (head word, subject, place; or initials of these), or as an officer (given name or initial, surname,
 post). The reading yields a short signature in fixed order ("bohc|choshabaruwadi": initials and place;
-"hochulidu": surname), so that reordered parts, abbreviations and initials no longer differ.
+"hochulidu": surname), so that reordered parts, abbreviations and initials no longer differ. Offices with a place
+have the place among those of one head as a second signature, as their subjects may differ by more than K edits.
 
 Signatures are joined within ``K`` edits by the pigeonhole principle: a signature is cut into K + 1 segments,
 one of which any near signature must contain unharmed, at a position shifted by at most the length difference
@@ -178,8 +179,10 @@ def signature(r: dict) -> tuple[str, str]:
 
 
 def full_signature(r: dict) -> tuple[str, str] | None:
-    """A second signature for offices without a place, whose initials are too short to bear an edit."""
-    if r["kind"] == "office" and not r["place"] and r["head"]:
+    """A second signature for offices: the place, near in all that same() accepts; without a place the subject, as initials are too short to bear an edit."""
+    if r["kind"] == "office" and r["place"]:
+        return "l:" + r["head"], r["place"]
+    if r["kind"] == "office" and r["head"]:
         return "f:" + r["head"], r["subject"]
     return None
 

@@ -239,6 +239,19 @@ def test_names(spark):
     assert names.link_names(spark.createDataFrame([], "name string")).count() == 0
 
 
+def test_offices_with_misspelt_place_and_subject(spark):
+    """Every pair of placed offices that same() accepts is a candidate: the place and the subject may be misspelt at once."""
+    pairs = [
+        ("Board of Health Camps, Choshabaruwadi", "Board of Camps Health, Choshabarruwadi"),
+        ("Directorate of River Transport, Sukurahawadi", "Directorate of Kiver Transport, Sukurehavadi"),
+        ("Council of Rural Trade Permits, Gamedhipur", "Council of Permits Rural Trade, Gamedipurr"),
+    ]
+    read = [tuple(names.read(n) for n in p) for p in pairs]
+    assert all(names.same(a, b) for a, b in read)
+    got = {r["name"]: r["name_class"] for r in names.link_names(spark.createDataFrame([(n,) for p in pairs for n in p], "name string")).collect()}
+    assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) == len(pairs)
+
+
 def test_initials_of_two_offices_are_left_alone(spark):
     rows = [("Ministry of River Transport",), ("Ministry of Rural Trade",), ("MoRT",), ("River Transport Ministry",)]
     got = {r["name"]: r["name_class"] for r in names.link_names(spark.createDataFrame(rows, "name string")).collect()}
