@@ -8,7 +8,8 @@ entries of different identity none. What an edit metric can't see (initials, con
 "Dmd. Notice") is then read word by word against the entries; only an unambiguous reading counts.
 
 The reference list is shipped to the workers up to ``shard_entries`` names (checked); beyond, it is dealt to
-shards, each value meets every shard as part of the stated query set, and the shards' winners merge.
+shards, each value meets every shard as part of the stated query set, and each shard gives the nearest of every reading;
+ties are settled and readings taken in their order after the merge, as one tree would do.
 
 Null and blank values map to nothing and give no row; a value equal to an entry name maps to it at
 distance 0. An empty reference list leaves every value at 0.
@@ -29,7 +30,7 @@ from .edits import fold, levenshtein, reads_as, words
 
 BLANK = " \t\r\n"
 RESULT = "field_name string, value string, entry_id int, distance int, how string"
-RANKED = RESULT + ", rank int"
+STEPS = "field_name string, value string, step int, cost int, lo int, hi int, counts boolean, how string"  # lo, hi: least and largest of the nearest entries
 
 
 class BKTree:
@@ -96,23 +97,22 @@ class Matcher:
         self.tree = BKTree(sorted(self.entries))
         self.split = [(words(n), n) for n in self.entries]
 
-    def near(self, s: str) -> tuple[int, int] | None:
-        """(entry, distance) of the nearest; None if there is none within the radius or several are equally near."""
+    def near(self, s: str) -> tuple[int, int, int] | None:
+        """(distance, least, largest) of the nearest entries; None if there is none within the radius."""
         found = self.tree.find(s, radius(s))
         if not found:
             return None
         least = min(d for _, d in found)
         ids = {i for n, d in found if d == least for i in self.entries[n]}
-        return (ids.pop(), least) if len(ids) == 1 else None
+        return least, min(ids), max(ids)
 
-    def match(self, value: str) -> tuple[int, int | None, str, int]:
-        """(entry or 0, distance or cost of the reading, how, rank): a lower rank is a better match."""
+    def steps(self, value: str) -> Iterator[tuple[int, int, int, int, bool, str]]:
+        """STEPS of the value's readings in falling order of trust. One counts if its nearest entry is a single one."""
         f = fold(value)
         for k, s in enumerate(forms(f)):
-            hit = self.near(s)
-            # a shortened reading must leave most of a word standing
-            if hit and (k == 0 or len(s) > 4 or hit[1] == 0 and len(s) > 2):
-                return hit[0], hit[1], "edit" if k == 0 else "part", 100 * k + hit[1]
+            if hit := self.near(s):
+                # a shortened reading must leave most of a word standing
+                yield k, *hit, k == 0 or len(s) > 4 or hit[0] == 0 and len(s) > 2, "edit" if k == 0 else "part"
         for k, s in enumerate(forms(f)):
             w = words(s)
             letters = "".join(w)
@@ -129,9 +129,14 @@ class Matcher:
             if costs:
                 least = min(costs.values())
                 ids = [i for i, c in costs.items() if c == least]
-                if len(ids) == 1:
-                    return ids[0], least, "abbreviation", 100_000 + 100 * k + least
-        return 0, None, "none", 1_000_000
+                yield 100_000 + k, least, min(ids), max(ids), True, "abbreviation"
+
+    def match(self, value: str) -> tuple[int, int | None, str]:
+        """(entry or 0, distance or cost of the reading, how)."""
+        for _, cost, lo, hi, counts, how in self.steps(value):
+            if counts and lo == hi:
+                return lo, cost, how
+        return 0, None, "none"
 
 
 def _names(reference: DataFrame) -> DataFrame:
@@ -142,8 +147,8 @@ def _names(reference: DataFrame) -> DataFrame:
 def _run(matchers: dict[str, Matcher], pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for field, value in zip(pdf["field_name"], pdf["value"]):
-        rows.append((field, value, *(matchers[field].match(value) if field in matchers else (0, None, "none", 1_000_000))))
-    out = pd.DataFrame(rows, columns=["field_name", "value", "entry_id", "distance", "how", "rank"])
+        rows.append((field, value, *(matchers[field].match(value) if field in matchers else (0, None, "none"))))
+    out = pd.DataFrame(rows, columns=["field_name", "value", "entry_id", "distance", "how"])
     return out.astype({"distance": "Int32"})
 
 
@@ -166,21 +171,26 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = 50_
             for pdf in batches:
                 yield _run(matchers, pdf)
 
-        return values.select("field_name", "value").mapInPandas(run, RANKED).drop("rank")
+        return values.select("field_name", "value").mapInPandas(run, RESULT)
     shards = -(-names.count() // shard_entries)
     salts = 16
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _run(_matchers(list(right[["field_name", "entry_id", "name"]].itertuples(index=False, name=None))), left)
+        matchers = _matchers(list(right[["field_name", "entry_id", "name"]].itertuples(index=False, name=None)))
+        rows = []
+        for field, value in zip(left["field_name"], left["value"]):
+            rows += [(field, value, *x) for x in (matchers[field].steps(value) if field in matchers else ())]
+            rows.append((field, value, 1_000_000, 0, 0, 0, True, "none"))
+        return pd.DataFrame(rows, columns=["field_name", "value", "step", "cost", "lo", "hi", "counts", "how"])
 
     # a stated query set against the reference in blocks
     asked = values.select("field_name", "value", F.pmod(F.xxhash64("value"), F.lit(salts)).alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
     held = names.select("*", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("_salt"))
-    won = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(both, RANKED)
-    # the best of the shards' winners; winners of one rank but different entries leave the value unmatched
-    best = won.groupBy("field_name", "value").agg(F.min(F.struct("rank", "entry_id", "distance", "how")).alias("_b"), F.max(F.struct((-F.col("rank")).alias("r"), "entry_id")).alias("_t"))
-    clear = F.col("_b.entry_id") == F.col("_t.entry_id")
-    return best.select("field_name", "value", F.when(clear, F.col("_b.entry_id")).otherwise(0).alias("entry_id"), F.when(clear, F.col("_b.distance")).alias("distance"), F.when(clear, F.col("_b.how")).otherwise("none").alias("how"))
+    won = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(both, STEPS)
+    # per reading the nearest of all shards; the first reading with a single nearest entry wins
+    step = won.groupBy("field_name", "value", "step").agg(F.min(F.struct("cost", "lo", "counts", "how")).alias("_b"), F.max(F.struct((-F.col("cost")).alias("c"), "hi")).alias("_t"))
+    best = step.filter("_b.counts and _b.lo = _t.hi").groupBy("field_name", "value").agg(F.min(F.struct("step", "_b.lo", "_b.cost", "_b.how")).alias("_w"))
+    return best.select("field_name", "value", F.col("_w.lo").alias("entry_id"), F.when(F.col("_w.how") != "none", F.col("_w.cost")).alias("distance"), F.col("_w.how").alias("how"))
 
 
 def typed_values(df: DataFrame, fields: list[str], key: str = "document_id") -> DataFrame:

@@ -177,6 +177,18 @@ def test_mapping(spark, shard):
     assert {r["entry_id"] for r in canonical.map_values(spark.createDataFrame([("t", "Circular")], "field_name string, value string"), ref.limit(0)).collect()} == {0}
 
 
+def test_shards_map_as_one_tree(spark):
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("abc") for _ in range(7)) for _ in range(6)]
+    near = lambda w: "".join(rng.choice("abc") if rng.random() < 0.2 else c for c in w)
+    ref = [("t", i, f"{near(rng.choice(stems))} {near(rng.choice(stems))}", None) for i in range(40)] + [("t", 100 + i, near(w), None) for i, w in enumerate(stems * 3)]
+    ref = spark.createDataFrame(ref, "field_name string, entry_id int, entry_name string, alt_names array<string>")
+    asked = {f"{near(rng.choice(stems))} {near(rng.choice(stems))}" for _ in range(60)} | {f"{near(rng.choice(stems))}, No. 5" for _ in range(60)}
+    values = spark.createDataFrame([("t", v) for v in asked] + [("z", "abc")], "field_name string, value string")
+    one, shards = ({tuple(r) for r in canonical.map_values(values, ref, shard_entries=n).collect()} for n in (50_000, 12))
+    assert one == shards and len({r[2] for r in one}) > 5
+
+
 def test_typed_values(spark):
     df = spark.createDataFrame([("d", "A", " ", 1), ("d", "A", None, 1), ("e", None, "\n", 1)], "document_id string, t string, j string, value int")
     assert [tuple(r) for r in canonical.typed_values(df, ["t", "j"]).collect()] == [("d", "t", "A")]
