@@ -246,7 +246,6 @@ def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", thr
     met = scratch.keep(_candidates(postings(rows.join(others, "id", "left_anti"), counts, threshold, block), threshold), "met")
     cand = scratch.keep(_by_bitmap(met, rows, threshold), "candidates")
     scratch.drop("rows")
-    scratch.release()
     # the whole rows of what is left, from the texts
     ids = cand.select(F.col("x").alias("rep_id")).union(cand.select("y")).distinct()
     wanted = scratch.keep(out.select("rep", "rep_id").distinct().join(ids, "rep_id"), "wanted")
