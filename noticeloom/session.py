@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -29,6 +28,7 @@ def session(app: str = "noticeloom", cores: str = "*", shuffle_partitions: int =
     return b.getOrCreate()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
 
 
@@ -52,9 +52,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where the session has none (tests), a local one is made and set."""
+    """The folder of spark.checkpoint.dir. Where the session has none, a local one is made and set, in local mode only: the
+    executors of a cluster would each write to a disk of their own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("noticeloom.scratch", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="noticeloom-")
         spark.conf.set("noticeloom.scratch", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -87,13 +91,14 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """The table as written; the shuffle files of the step that made it go as soon as it is complete."""
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Lets Spark remove the shuffle files of finished steps now, not when the driver next collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, name: str) -> None:
         _remove(self.spark, self.path(name))
