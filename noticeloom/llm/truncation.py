@@ -5,13 +5,16 @@ the last lines, open brackets) and of its length against its source's length lim
 a bounded sample (``train_rows``): every sampled text as it stands is taken for intact, and copies of
 them, cut by us inside a word or sentence, are the positives. Since some of the sampled texts are
 truncated themselves, those which the first model calls cut leave the intact side before the next fit.
-The length statistics come from all rows; every row is scored.
+Of a sampled text longer than ``longest`` its last ``longest`` characters are taken, so that the sample is bounded in
+characters, too. The length statistics come from all rows; every row is scored. Where the rows allow no model (none of
+them can be cut: all are shorter than 24 characters, or end where a cut can't be told), score and truncated are null:
+nothing is judged.
 
 A source's limits show as spikes in its length histogram, which counts distinct texts, so that exact copies are
 no evidence: ``at`` = distinct texts of the source with exactly this length, against ``rest`` = the largest count at
 any length that is no limit. A source may have several limits; a text is seen against the next one from its length up.
 
-Null, empty and blank texts are no truncated texts. A null source is a source of its own.
+Null, empty and blank texts are no truncated texts and have no row in the scores. A null source is a source of its own.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import Scratch, ship
 
 BITS = 16
 TAIL = 240
+SALTS = 64
+BROADCAST_SOURCES = 200_000  # sources and limits together: some 10 MB
 # fixed values: what shorteners, broken encodings and broken escapes leave at a cut
 MARKS = ["…", "...", " ...", " [...]", "[…]", " (...)", "... (more)", " [cut]", "�", "�", "&am", "&", "\\", "\\u0", "%2", "<"]
 STOPS = ".!?।॥"
@@ -125,8 +130,9 @@ def _over(n: int, limits: list[int]) -> int:
     return n - min((x for x in limits if x >= n), default=max(limits)) if len(limits) else -99
 
 
-def train(sample: pd.DataFrame, rounds: int = 3, doubt: float = 0.4, seed: int = 5) -> np.ndarray:
-    """sample: text, n, limits, limit_at. Returns the weights.
+def train(sample: pd.DataFrame, rounds: int = 3, doubt: float = 0.4, seed: int = 5) -> np.ndarray | None:
+    """sample: text (its end, if it is long), n (length of the whole), limits, limit_at. Returns the weights; None if there are
+    no intact texts or none that can be cut.
 
     Texts at a limit of their source are no examples of intact ones. A share of the copies, and a much
     smaller one of the intact texts, is given the length features of a text at a limit. The texts taken
@@ -142,16 +148,17 @@ def train(sample: pd.DataFrame, rounds: int = 3, doubt: float = 0.4, seed: int =
             opened = max(0, r.text.count("(") - r.text.count(")"))
             at, rest, over = (next(at_limits), 1.0, 0) if rng.random() < 0.05 else (1.0, r.limit_at, _over(r.n, r.limits))
             neg.append(features(r.text[-TAIL:], r.n, at, rest, over, opened))
+        before = int(r.n) - len(r.text)  # what stands before the end of a long text
         for j in range(2):
-            c = cut_copy(r.text, zlib.crc32(r.text[:200].encode("utf-8", "surrogatepass")) * 7 + 31 * j, max((x for x in r.limits if x < r.n), default=0))
+            c = cut_copy(r.text, zlib.crc32(r.text[:200].encode("utf-8", "surrogatepass")) * 7 + 31 * j, max((x for x in r.limits if x < r.n), default=0) - before)
             if c:
-                n = len(c)
+                n = before + len(c)
                 at, rest, over = (next(at_limits), 1.0, -int(rng.integers(0, 3))) if rng.random() < 0.3 else (1.0, r.limit_at, _over(n, r.limits))
                 pos.append(features(c[-TAIL:], n, at if over == 0 else 1.0, rest if over == 0 else at, over, max(0, c.count("(") - c.count(")"))))
                 pos_of.append(i)
     keep = np.array([x is not None for x in neg], dtype=bool)
     if not keep.any() or not pos:
-        return np.zeros(1 << BITS)
+        return None
     neg = [x if x is not None else [] for x in neg]
     fold, pos_fold = np.arange(len(neg)) % 2, np.array(pos_of) % 2
 
@@ -204,24 +211,42 @@ def lengths(df: DataFrame, source: str = "source", text: str = "text") -> DataFr
     return ranked.select("_s", "_c", spike.alias("_l")).groupBy("_s").agg(F.sort_array(F.collect_list("_l")).alias("_limits"), F.max("_c").cast("double").alias("_limit_at"))
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", train_rows: int = 6000, longest: int = 200_000) -> DataFrame:
+def sampled(row: Column, rows: int, wanted: int) -> Column:
+    """Is this row, by a hash of its columns, one of about ``wanted`` of ``rows``? Rounded up, so that no size gives an empty sample."""
+    return F.pmod(row, F.lit(1 << 62)) < F.lit(min(1 << 62, -(-(1 << 62) * wanted // max(1, rows))))
+
+
+def _with_stats(rows: DataFrame, stats: DataFrame, sources: int) -> DataFrame:
+    """Adds the statistics of the row's source. Those of few sources are broadcast, after a count; of very many, both sides are
+    shuffled with a hot source's rows spread over SALTS."""
+    if sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(stats), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+    right = stats.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return left.join(right, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_s", "_salt", "_salt2")
+
+
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", train_rows: int = 6000, longest: int = 8000) -> DataFrame:
     """(key, source, score, truncated) for every row with a non-blank text. Rows are not merged. The model is fitted on at most
-    2 * train_rows rows (expected: train_rows) of texts up to ``longest`` characters."""
+    2 * train_rows rows (expected: train_rows), of each the last ``longest`` characters; on one without rows that can be cut
+    score and truncated are null."""
     ship(df.sparkSession)
+    scratch = Scratch(df.sparkSession, "lengths")
     base = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text")).filter(F.length(F.btrim("_text", F.lit(" \t\r\n"))) > 0)
-    stats = lengths(base, "_source", "_text")
+    stats = scratch.keep(lengths(base, "_source", "_text"), "stats")
+    size_of = stats.agg(F.count("*").alias("s"), F.coalesce(F.sum(F.size("_limits")), F.lit(0)).alias("l")).first()
+    sources = size_of["s"] + size_of["l"]
     rows = df.count()
-    share = min(1.0, train_rows / max(1, rows))
-    buckets = 1_000_000
     sample = (
-        base.filter((F.pmod(F.xxhash64(F.lit(11), "_key"), F.lit(buckets)) < int(share * buckets)) & (F.length("_text") <= longest))
-        .join(stats, F.col("_source").eqNullSafe(F.col("_s")), "left")
-        .select(F.col("_text").alias("text"), F.length("_text").alias("n"), F.coalesce("_limits.n", F.array().cast("array<int>")).alias("limits"), F.coalesce("_limit_at", F.lit(0.0)).alias("limit_at"))
+        _with_stats(base.filter(sampled(F.xxhash64(F.lit(11), "_key"), rows, train_rows)), stats, sources)
+        .select(F.substring("_text", -longest, longest).alias("text"), F.length("_text").alias("n"), F.coalesce("_limits.n", F.array().cast("array<int>")).alias("limits"), F.coalesce("_limit_at", F.lit(0.0)).alias("limit_at"))
         .orderBy(F.xxhash64("text"))
         .limit(2 * train_rows)  # the documented bound of the training sample
         .toPandas()
     )
     weights = train(sample)
+    if weights is None:
+        return base.select(F.col("_key").alias(key), F.col("_source").alias(source), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("truncated"))
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -234,7 +259,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # the next limit from the length up, else the largest; null without limits
     limit = F.coalesce(F.get(F.filter("_limits", lambda x: x["n"] >= F.col("_n")), F.lit(0)), F.get("_limits", F.size("_limits") - 1))
     at_limit = F.col("_n") == F.col("_limit.n")
-    ready = lean.join(stats, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("_limit", limit).select(
+    ready = _with_stats(lean, stats, sources).withColumn("_limit", limit).select(
         "_key", "_source",
         probability(
             "_tail", "_n",
@@ -248,5 +273,5 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def by_source(scored: DataFrame, source: str = "source") -> DataFrame:
-    """(source, documents, truncated, share)."""
-    return scored.groupBy(source).agg(F.count("*").alias("documents"), F.count_if("truncated").alias("truncated")).withColumn("share", F.col("truncated") / F.col("documents"))
+    """(source, documents, truncated, share); the last two are null where nothing was judged."""
+    return scored.groupBy(source).agg(F.count("*").alias("documents"), F.sum(F.col("truncated").cast("int")).alias("truncated")).withColumn("share", F.col("truncated") / F.col("documents"))

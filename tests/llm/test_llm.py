@@ -474,6 +474,29 @@ def test_truncation(spark):
     assert truncation.score(df.limit(0)).count() == 0
 
 
+def test_sample_is_never_empty(spark):
+    """Also of 10**11 rows some 6000 are taken; the share is not rounded down to none."""
+    for rows in (6 * 10**9, 10**11, 10**15):
+        bound = -(-(1 << 62) * 6000 // rows)
+        assert 0 < bound < 1 << 62 and abs(bound / (1 << 62) * rows - 6000) < 1
+    ids = spark.range(200_000)
+    assert 4500 < ids.filter(truncation.sampled(F.xxhash64(F.lit(11), "id"), 200_000, 6000)).count() < 7500
+    assert ids.filter(truncation.sampled(F.xxhash64(F.lit(11), "id"), 0, 6000)).count() == 200_000
+
+
+def test_no_model_judges_nothing(spark):
+    df = spark.createDataFrame([(1, "too short", "s"), (2, "x", None)], "doc_id long, text string, source string")
+    assert [(r["score"], r["truncated"]) for r in truncation.score(df).collect()] == [(None, None)] * 2
+    assert {r["source"]: (r["documents"], r["share"]) for r in truncation.by_source(truncation.score(df)).collect()} == {"s": (1, None), None: (1, None)}
+
+
+def test_long_texts_train_by_their_ends(spark):
+    texts = [" ".join(notices(25, seed=i)) for i in range(200)]
+    rows = [(i, t if i % 10 else t[: t.rfind(" ", 0, len(t) // 2 + i) - 2], "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["truncated"] for r in truncation.score(spark.createDataFrame(rows, "doc_id long, text string, source string"), longest=2000).collect()}
+    assert min(len(t) for _, t, _ in rows) > 4000 and sum(got[i] for i in range(0, 200, 10)) >= 18 and sum(got.values()) <= 26
+
+
 def test_limits_of_distinct_texts(spark):
     """Copies neither make nor hide a limit, and a source may have several."""
     text = lambda n, i: f"{i:04d}" + "x" * (n - 4)
