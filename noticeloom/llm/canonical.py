@@ -4,12 +4,16 @@ Distinct values are mapped once. A BK-tree over the folded entry names and other
 the Levenshtein metric, returns every entry within a length-dependent distance; the triangle inequality
 prunes. A value is asked for as typed, then without what is appended to it (brackets, "No. 5", "/ Urgent",
 ", District X") and with the parts round a comma swapped; the nearest entry wins, and of equally near
-entries of different identity none. What an edit metric can't see (initials, contractions such as
-"Dmd. Notice") is then read word by word against the entries; only an unambiguous reading counts.
+entries of different identity none.
 
-The reference list is shipped to the workers up to ``shard_entries`` names (checked); beyond, it is dealt to
-shards, each value meets every shard as part of the stated query set, and each shard gives the nearest of every reading;
-ties are settled and readings taken in their order after the merge, as one tree would do.
+What the metric can't see in whole names (initials, contractions such as "Dmd. Notice") is found by a second tree of the
+same kind: its keys are the short forms generated from every word of the entries (beginnings, consonants, first letter with an
+ending, letters in alphabetical order) and from runs of words (their initials). Each word of a value is asked for in that tree; only entries
+all of whose words answered, in this order, are read word by word, and only an unambiguous reading counts.
+
+The reference is dealt to shards of about ``shard_entries`` names; one shard is broadcast, more meet the values in blocks, as
+a stated query set. In either case a shard gives, for every reading of a value, its nearest entries; ties are settled and
+readings taken in their order after the merge. So the number of shards changes nothing.
 
 Null and blank values map to nothing and give no row; a value equal to an entry name maps to it at
 distance 0. An empty reference list leaves every value at 0.
@@ -18,6 +22,7 @@ distance 0. An empty reference list leaves every value at 0.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +34,6 @@ from ..session import ship
 from .edits import fold, levenshtein, reads_as, words
 
 BLANK = " \t\r\n"
-RESULT = "field_name string, value string, entry_id int, distance int, how string"
 STEPS = "field_name string, value string, step int, cost int, lo int, hi int, counts boolean, how string"  # lo, hi: least and largest of the nearest entries
 
 
@@ -87,15 +91,70 @@ def forms(folded: str) -> list[str]:
     return list(dict.fromkeys(x for x in out if x))
 
 
+def short_forms(w: str) -> set[str]:
+    """The word, its beginnings, its consonants behind the first letter and their beginnings, its first letter with one or
+    two of the others (so that any abbreviation of up to five letters is near a form) or with its ends, and its letters in
+    alphabetical order (marked by "=")."""
+    bones = w[0] + "".join(c for c in w[1:] if c not in "aeiou")
+    out = {x[:k] for x in (w, bones) for k in range(1, len(x) + 1)} | {w[0] + w[k:] for k in range(2, len(w) - 2)} | {_letters(w)}
+    return out | {w[0] + a for a in w[1:]} | {w[0] + a + b for i, a in enumerate(w[1:], 2) for b in set(w[i:])}
+
+
+def _letters(w: str) -> str:
+    return "=" + "".join(sorted(w))
+
+
+def variants(full: list[str], most: int = 8) -> list[list[str]]:
+    """The words of a name, and with one run of two to ``most`` words as their initials."""
+    out = [full]
+    for i in range(len(full)):
+        for j in range(i + 2, min(len(full), i + most) + 1):
+            out.append([*full[:i], "".join(w[0] for w in full[i:j]), *full[j:]])
+    return out
+
+
 class Matcher:
-    """The names of one field: a tree, and the entries by name."""
+    """The names of one field: a tree of names, a tree of their words' short forms, and the entries by name."""
 
     def __init__(self, names: list[tuple[str, int]]):
         self.entries: dict[str, set[int]] = {}
         for name, entry in names:
             self.entries.setdefault(fold(name), set()).add(entry)
         self.tree = BKTree(sorted(self.entries))
-        self.split = [(words(n), n) for n in self.entries]
+        # names by (words, place, word), runs of words also as their initials
+        self.at: dict[tuple[int, int, str], set[str]] = {}
+        self.split = {n: words(n) for n in self.entries}
+        short: dict[str, set[str]] = {}
+        for name, full in self.split.items():
+            for variant in variants(full):
+                for i, w in enumerate(variant):
+                    self.at.setdefault((len(variant), i, w), set()).add(name)
+                    if w not in short.get(w, ()):
+                        for form in short_forms(w):
+                            short.setdefault(form, set()).add(w)
+        self.short = short
+        self.short_tree = BKTree(sorted(short))
+        self.known: dict[str, set[str]] = {}
+
+    def words_of(self, w: str) -> set[str]:
+        """The entries' words of which ``w`` may be a short or misspelt form."""
+        if w not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            r = 0 if len(w) <= 2 else 1 if len(w) == 3 else 2
+            hits = self.short_tree.find(w, r) + (self.short_tree.find(_letters(w), 0) if len(w) >= 4 else [])
+            self.known[w] = {full for form, _ in hits for full in self.short[form]}
+        return self.known[w]
+
+    def readable(self, parts: list[str]) -> set[str]:
+        """The names whose words all may be meant by the parts, one by one."""
+        left: set[str] | None = None
+        for i, w in enumerate(parts):
+            here = {n for full in self.words_of(w) for n in self.at.get((len(parts), i, full), ())}
+            left = here if left is None else left & here
+            if not left:
+                return set()
+        return left or set()
 
     def near(self, s: str) -> tuple[int, int, int] | None:
         """(distance, least, largest) of the nearest entries; None if there is none within the radius."""
@@ -119,10 +178,9 @@ class Matcher:
             if len(letters) < 2 or (len(w) == 1 and len(letters) < 3 and "." not in f):
                 continue
             costs: dict[int, int] = {}
-            for full, name in self.split:
-                parts = [list(w)] if len(w) > 1 else [list(w), list(letters)] if len(letters) <= 5 else [list(w)]
-                for p in parts:
-                    c = reads_as(p, full)
+            for p in [list(w), list(letters)] if len(w) == 1 and len(letters) <= 5 else [list(w)]:
+                for name in self.readable(p):
+                    c = reads_as(p, self.split[name])
                     if c is not None:
                         for i in self.entries[name]:
                             costs[i] = min(costs.get(i, 99), c)
@@ -144,49 +202,74 @@ def _names(reference: DataFrame) -> DataFrame:
     return reference.select(F.col("field_name"), F.col("entry_id").cast("int").alias("entry_id"), F.explode(all_names).alias("name")).filter("name is not null and field_name is not null and entry_id is not null")
 
 
-def _run(matchers: dict[str, Matcher], pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for field, value in zip(pdf["field_name"], pdf["value"]):
-        rows.append((field, value, *(matchers[field].match(value) if field in matchers else (0, None, "none"))))
-    out = pd.DataFrame(rows, columns=["field_name", "value", "entry_id", "distance", "how"])
-    return out.astype({"distance": "Int32"})
-
-
-def _matchers(names: list[tuple[str, int, str]]) -> dict[str, Matcher]:
+def _matchers(names) -> dict[str, Matcher]:
     by: dict[str, list[tuple[str, int]]] = {}
     for field, entry, name in names:
         by.setdefault(field, []).append((name, entry))
     return {f: Matcher(v) for f, v in by.items()}
 
 
-def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = 50_000) -> DataFrame:
-    """values: (field_name, value), distinct; returns RESULT with one row per value, entry_id 0 where none is meant."""
-    ship(values.sparkSession)
+_BUILT: dict[str, dict[str, Matcher]] = {}
+
+
+def _built(token: str, names) -> dict[str, Matcher]:
+    """The trees of one shard, made once in a worker."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = _matchers(names)
+    return _BUILT[token]
+
+
+_COLUMNS = ["field_name", "value", "step", "cost", "lo", "hi", "counts", "how"]
+
+
+def _steps(matchers: dict[str, Matcher], pdf: pd.DataFrame, alone: bool) -> pd.DataFrame:
+    """STEPS of many values. ``alone``: no other shard can alter a reading that decides, so what comes after it is left out."""
+    rows = []
+    for field, value in zip(pdf["field_name"], pdf["value"]):
+        decided = False
+        for x in matchers[field].steps(value) if field in matchers else ():
+            rows.append((field, value, *x))
+            if decided := alone and x[4] and x[2] == x[3]:
+                break
+        if not decided:
+            rows.append((field, value, 1_000_000, 0, 0, 0, True, "none"))
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = 50_000, frame: int = 50_000) -> DataFrame:
+    """values: (field_name, value), distinct; returns (field_name, value, entry_id, distance, how), one row per value, entry_id 0 where none is meant.
+    ``frame``: about so many values meet a shard at a time."""
+    spark = values.sparkSession
+    ship(spark)
     names = _names(reference)
     few = [tuple(r) for r in names.limit(shard_entries + 1).collect()]  # bounded by the limit
+    token = uuid.uuid4().hex
+    # matching is work for the processor, not for the shuffle: as many tasks as cores, which no adaptive plan merges
+    tasks = 2 * spark.sparkContext.defaultParallelism
     if len(few) <= shard_entries:
+        held = spark.sparkContext.broadcast(few)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matchers = _matchers(few)
+            matchers = _built(token, held.value)
             for pdf in batches:
-                yield _run(matchers, pdf)
-
-        return values.select("field_name", "value").mapInPandas(run, RESULT)
-    shards = -(-names.count() // shard_entries)
-    salts = 16
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        matchers = _matchers(list(right[["field_name", "entry_id", "name"]].itertuples(index=False, name=None)))
-        rows = []
-        for field, value in zip(left["field_name"], left["value"]):
-            rows += [(field, value, *x) for x in (matchers[field].steps(value) if field in matchers else ())]
-            rows.append((field, value, 1_000_000, 0, 0, 0, True, "none"))
-        return pd.DataFrame(rows, columns=["field_name", "value", "step", "cost", "lo", "hi", "counts", "how"])
-
-    # a stated query set against the reference in blocks
-    asked = values.select("field_name", "value", F.pmod(F.xxhash64("value"), F.lit(salts)).alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
-    held = names.select("*", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("_salt"))
-    won = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(both, STEPS)
+                yield _steps(matchers, pdf, alone=True)
+
+        asked = values.select("field_name", "value").repartition(tasks, F.xxhash64("field_name", "value"))
+        won = asked.mapInPandas(run, STEPS)
+    else:
+        shards = -(-names.count() // shard_entries)
+        salts = max(1, -(-values.count() // frame))
+
+        def both(at: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            return _steps(_built(f"{token}-{at[0]}", right[["field_name", "entry_id", "name"]].itertuples(index=False, name=None)), left, alone=False)
+
+        # a stated query set against the reference in blocks
+        asked = values.select("field_name", "value", F.pmod(F.xxhash64("value"), F.lit(salts)).alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
+        block = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("_shard")
+        held_ = names.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("_salt"))
+        tasks = max(tasks, min(shards * salts, 10_000))
+        won = asked.repartition(tasks, "_shard", "_salt").groupBy("_shard", "_salt").cogroup(held_.repartition(tasks, "_shard", "_salt").groupBy("_shard", "_salt")).applyInPandas(both, STEPS)
     # per reading the nearest of all shards; the first reading with a single nearest entry wins
     step = won.groupBy("field_name", "value", "step").agg(F.min(F.struct("cost", "lo", "counts", "how")).alias("_b"), F.max(F.struct((-F.col("cost")).alias("c"), "hi")).alias("_t"))
     best = step.filter("_b.counts and _b.lo = _t.hi").groupBy("field_name", "value").agg(F.min(F.struct("step", "_b.lo", "_b.cost", "_b.how")).alias("_w"))

@@ -177,6 +177,35 @@ def test_mapping(spark, shard):
     assert {r["entry_id"] for r in canonical.map_values(spark.createDataFrame([("t", "Circular")], "field_name string, value string"), ref.limit(0)).collect()} == {0}
 
 
+def test_word_tree_reads_as_a_scan_of_all_names():
+    rng = random.Random(3)
+    pool = "notification circular office order memorandum tender inviting demand recruitment guidelines extraordinary gazette corrigendum hearing summons observation audit scheme document".split()
+    names = sorted({" ".join(rng.sample(pool, rng.randint(1, 4))) for _ in range(60)})
+    m = canonical.Matcher([(n, i) for i, n in enumerate(names)])
+
+    def shorten(w):
+        way = rng.randrange(6)
+        bones = w[0] + "".join(c for c in w[1:] if c not in "aeiou")
+        if way == 0:
+            return w[: rng.randint(1, len(w))]
+        if way == 1:
+            return bones[: rng.randint(1, len(bones))]
+        if way == 2:
+            return w[0] + w[rng.randint(2, len(w) - 3) :]
+        k = rng.randrange(1, len(w) - 1)
+        return [w, w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "x" + w[k + 1 :]][way - 3]
+
+    found = 0
+    for _ in range(800):
+        w = rng.choice(names).split()
+        short = ["".join(x[0] for x in w)] if len(w) > 1 and rng.random() < 0.2 else [shorten(x) for x in w]
+        want = {n for n in names if edits.reads_as(list(short), n.split()) is not None}
+        got = {n for n in m.readable(short) if edits.reads_as(list(short), n.split()) is not None}
+        assert got == want, short
+        found += bool(want)
+    assert found > 750
+
+
 def test_shards_map_as_one_tree(spark):
     rng = random.Random(6)
     stems = ["".join(rng.choice("abc") for _ in range(7)) for _ in range(6)]
