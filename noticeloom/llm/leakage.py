@@ -18,12 +18,18 @@ The shortest passage looked for has ``min_words`` words of an item (all of a sho
 within the budget, a part of such a length is within it, too. A run of ``min_words`` equal words is always found: its q-grams all
 lie on one diagonal and are at least as many as the bound asks for.
 
-Items are a stated query set: up to ``block_items`` of them are shipped to the workers at a time (checked), more
-go in further blocks. Null, empty and blank texts leak nothing. Rows with one id count once.
+An item of fewer than ``q`` normalised characters has no q-gram and no edit allowed; it is looked up as a whole, between
+word bounds, by the hash of a window of its own length.
+
+Items are a stated query set: blocks of about ``block_items`` items and ``block_chars`` characters are shipped to the workers.
+With more than one block the corpus is still scanned once: against a bit table of the q-grams of all items (fixed size),
+which leaves the documents with a window dense enough for some item; only these, written to the shared folder, meet the
+blocks. Null, empty and blank texts leak nothing. Rows with one id count once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import Scratch, ship
 
 from .edits import banded
 
@@ -131,10 +137,17 @@ class ItemIndex:
         self.ids, self.texts, self.least, self.budget, self.runs, self.spans = [], [], [], [], [], []
         self.most, self.reach = [], []
         hashes, owner, place = [], [], []
+        short: dict[int, list[tuple[int, int]]] = {}  # length: (hash, item number)
         for i, text in items:
             s = normalise(text)
             w = s.split(" ")
-            if not s or len(s) < q:
+            if not s:
+                continue
+            if len(s) < q:
+                h = qgram_hashes(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), len(s))
+                short.setdefault(len(s), []).append((int(h[0]), len(self.ids)))
+                for held, v in zip((self.ids, self.texts, self.spans, self.least, self.budget, self.most, self.reach, self.runs), (i, s, len(s), 1, 0, 0, 1, {s})):
+                    held.append(v)
                 continue
             k = min(min_words, len(w))
             ends = np.cumsum([len(x) + 1 for x in w])
@@ -154,6 +167,7 @@ class ItemIndex:
             self.ids.append(i)
             self.texts.append(s)
             self.spans.append(length)
+        self.short = {n: (np.array([h for h, _ in v], dtype=np.uint64), np.array([k for _, k in v])) for n, v in ((n, sorted(v)) for n, v in short.items())}
         self.bits = np.zeros(1 << BITS, dtype=bool)
         if not hashes:
             self.keys = np.empty(0, dtype=np.uint64)
@@ -165,13 +179,28 @@ class ItemIndex:
         self.last = np.append(self.first[1:], len(h))
         self.bits[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
         # windows: the longest passage of all, and the fewest q-grams any passage keeps
-        self.window, self.fewest = max(self.reach), min(self.least)
+        self.window = max(self.reach)
+        self.fewest = min(n for n, t in zip(self.least, self.texts) if len(t) >= q)
         self.least, self.budget, self.most, self.reach = np.array(self.least), np.array(self.budget), np.array(self.most), np.array(self.reach)
 
     def allowed(self, length: np.ndarray) -> np.ndarray:
         """Edits allowed in passages of these lengths; some q-gram must stay whole."""
         return np.minimum((self.edits * length).astype(np.int64), np.maximum(0, length // self.q - 1))
 
+    def whole(self, cp: np.ndarray) -> np.ndarray:
+        """Rows (item, from, to): where a short item stands between word bounds."""
+        edge = np.concatenate([[True], (cp == 32) | (cp == 0), [True]])  # edge[i]: what stands before i
+        out = []
+        for n, (keys, items) in self.short.items():
+            h = qgram_hashes(cp, n)
+            at = np.flatnonzero(edge[: len(h)] & edge[n + 1 : n + 1 + len(h)])
+            first, last = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], "right")
+            k = last - first
+            pick = np.repeat(first, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            at = np.repeat(at, k)
+            out.append(np.stack([items[pick], at, at + n], axis=1))
+        return np.concatenate(out).astype(np.int64) if out else np.empty((0, 3), dtype=np.int64)
+
     def regions(self, cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows (item, document place from, to, item place from, to) of regions that meet their bounds."""
         none = np.empty((0, 5), dtype=np.int64)
@@ -281,33 +310,90 @@ class ItemIndex:
         return (edits, run, int(r[1]), int(r[2])) if run or (whole and edits <= allowed) else self.passage(doc, r)
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", q: int = 12, min_words: int = 12, edits: float = 0.04, block_items: int = 20_000) -> DataFrame:
+_INDEXES: dict[str, ItemIndex] = {}
+
+
+def _index(token: str, items: list[tuple[int, str]], *args) -> ItemIndex:
+    """The index of one block, made once in a worker."""
+    if token not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[token] = ItemIndex(items, *args)
+    return _INDEXES[token]
+
+
+def _dense(src: DataFrame, wanted: DataFrame, q: int, min_words: int, edits: float) -> DataFrame:
+    """The rows of ``src`` that have a window with enough q-grams of any items, or may hold a short item. One scan; the table of
+    bits of the items' q-grams is made by the workers and has a fixed size."""
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index = ItemIndex(list(zip(range(b.num_rows), b.column(0).to_pylist())), q, min_words, edits)
+            word = np.packbits(index.bits).view(np.int64) if len(index.keys) else np.empty(0, np.int64)
+            at = np.flatnonzero(word)
+            size, fewest = (index.window, index.fewest) if len(index.keys) else (0, 1 << 30)
+            n = max(1, len(at))
+            col = lambda v: pa.array(np.full(n, v, dtype=np.int32))
+            cols = [pa.array(at.astype(np.int32) if len(at) else np.array([0], np.int32)), pa.array(word[at] if len(at) else np.array([0], np.int64)), col(size), col(fewest), col(min(index.short, default=q))]
+            yield pa.RecordBatch.from_arrays(cols, names=["w", "b", "size", "fewest", "short"])
+
+    made = wanted.select("_t").mapInArrow(facts, "w int, b long, size int, fewest int, short int")
+    got = made.groupBy("w").agg(F.bit_or("b").alias("b"), F.max("size").alias("size"), F.min("fewest").alias("fewest"), F.min("short").alias("short")).toArrow()  # at most 2**BITS / 64 rows
+    words_ = np.zeros(1 << (BITS - 6), dtype=np.int64)
+    words_[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    size, fewest, short = (int(f(got.column(c).to_numpy())) for f, c in ((np.max, "size"), (np.min, "fewest"), (np.min, "short")))
+    held = src.sparkSession.sparkContext.broadcast(words_)
+    if short < q:  # a short item may stand anywhere
+        return src
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(held.value.view(np.uint8)).astype(bool)
+        for b in batches:
+            keep = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                h = qgram_hashes(normalise_many([t])[0], q)
+                total = np.concatenate([[0], np.cumsum(bits[(h >> np.uint64(64 - BITS)).astype(np.int64)])])
+                w = min(size, len(h))
+                if len(h) and (total[w:] - total[: len(total) - w]).max() >= fewest:
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return src.mapInArrow(run, src.schema)
+
+
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", q: int = 12, min_words: int = 12, edits: float = 0.04, block_items: int = 20_000, block_chars: int = 40_000_000) -> DataFrame:
     """(key, item_key, region_start, region_end, edits, equal_words): one row per document and item that share a
     passage, for the region with the longest equal run, then the longest. Places count normalised characters;
     equal_words is min_words (or the item's length, if shorter) if that many consecutive words are equal, else 0."""
-    ship(documents.sparkSession)
+    spark = documents.sparkSession
+    ship(spark)
     wanted = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_t")).filter(F.length(F.btrim("_t", F.lit(" \t\r\n"))) > 0).distinct()
-    blocks = max(1, -(-wanted.count() // block_items))
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_t")), F.lit(0)).alias("c")).first()
+    blocks = max(1, -(-size["n"] // block_items), -(-size["c"] // block_chars))
     kind, ikind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    src = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") >= q)
+    src = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    block_of = lambda n: F.pmod(F.xxhash64("_i", "_t"), F.lit(n))
+    if blocks > 1:
+        scratch = Scratch(spark, "leaks")
+        wanted = scratch.keep(wanted, "items")
+        src = scratch.keep(_dense(src, wanted, q, min_words, edits), "dense")
+        # items are spread by a hash of id and text; blocks that turn out too large are halved until none is (a single text may be)
+        while blocks < size["n"] and wanted.groupBy(block_of(blocks)).agg(F.count("*").alias("n"), F.sum(F.length("_t")).alias("c")).filter((F.col("n") > 1) & ((F.col("n") > 2 * block_items) | (F.col("c") > 4 * block_chars))).limit(1).count():
+            blocks *= 2
     schema = f"_key {kind}, _item {ikind}, region_start int, region_end int, edits int, equal_words int"
-    found = None
+    schema_type = _arrow_type(items, item_key)
+    token, found = uuid.uuid4().hex, None
     for n in range(blocks):
-        block = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == n)
-        got = [(r[0], r[1]) for r in block.limit(4 * block_items + 1).collect()]
-        if len(got) > 4 * block_items:  # hash blocks are far smaller, unless one id has very many texts
-            raise ValueError("too many texts under one item id for a block")
-        held = documents.sparkSession.sparkContext.broadcast(got)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(held.value, q, min_words, edits)
+        block = wanted if blocks == 1 else wanted.filter(block_of(blocks) == n)
+        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])  # bounded above
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, n=n) -> Iterator[pa.RecordBatch]:
+            index = _index(f"{token}-{n}", held.value, q, min_words, edits)
             for b in batches:
                 rows = list(_search(index, b.column(1).to_pylist()))
                 take = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 cols = [take, pa.array([index.ids[r[1]] for r in rows], schema_type)] + [pa.array([r[j] for r in rows], pa.int32()) for j in range(2, 6)]
                 yield pa.RecordBatch.from_arrays(cols, names=["_key", "_item", "region_start", "region_end", "edits", "equal_words"])
 
-        schema_type = _arrow_type(items, item_key)
         part = src.mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     best = F.max(F.struct("equal_words", (F.col("region_end") - F.col("region_start")).alias("_l"), (-F.col("edits")).alias("_e"), "region_start", "region_end", "edits"))
@@ -329,6 +415,9 @@ def _search(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int,
             size += len(texts[b])
             b += 1
         cp, offsets = normalise_many(texts[a:b])
+        for item, lo, hi in index.whole(cp).tolist() if index.short else ():
+            k = int(np.searchsorted(offsets, lo, "right")) - 1
+            yield a + k, item, lo - int(offsets[k]), hi - int(offsets[k]), 0, index.texts[item].count(" ") + 1
         found = index.regions(cp, offsets)
         if len(found):
             doc = np.searchsorted(offsets, found[:, 1], "right") - 1

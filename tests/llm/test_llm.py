@@ -416,6 +416,43 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_short_items_leak_as_a_whole(spark, block):
+    items = [(1, "a b c d e"), (2, "Yes!"), (3, "x"), (4, "some longer item of more than twelve letters"), (5, "...")]
+    docs = [(1, "so A, b c d e."), (2, "ba b c d e"), (3, "yes"), (4, "yesterday (x)"), (5, "a b c d"), (6, "said: some longer item of more than twelve letters"), (7, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in leakage.leaks(d, spark.createDataFrame(items, "item_id long, text string"), block_items=block).select("doc_id", "item_id", "edits", "equal_words").collect()}
+    assert got == {(1, 1, 0, 5), (3, 2, 0, 1), (4, 3, 0, 1), (6, 4, 0, 8)}
+
+
+def test_many_texts_under_one_item(spark):
+    word = lambda i, j: f"w{i}x{j}"
+    text = lambda i: " ".join(word(i, j) for j in range(14))
+    items = spark.createDataFrame([(7, text(i)) for i in range(60)], "item_id long, text string")
+    d = spark.createDataFrame([(i, "intro " + text(i)) for i in range(0, 60, 7)] + [(99, "nothing here")], "doc_id long, text string")
+    assert {r["doc_id"] for r in leakage.leaks(d, items, block_items=5, block_chars=600).collect()} == set(range(0, 60, 7))
+
+
+def test_recall_of_edited_passages():
+    """Passages of 12 to 60 words, copied with as many random edits as the budget allows, in foreign text."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 9)))
+    some = lambda n: [word() for _ in range(n)]
+    items, docs = [], []
+    for i in range(300):
+        w = some(80)
+        n = rng.randint(12, 60)
+        at = rng.randint(0, 80 - n)
+        part = list(" ".join(w[at : at + n]))
+        for _ in range(int(0.04 * len(part))):
+            k, way = rng.randrange(len(part)), rng.randrange(3)
+            part[k : k + 1] = [[], [part[k], rng.choice("abcdef")], [rng.choice("abcdef")]][way]
+        items.append((i, " ".join(w)))
+        docs.append(" ".join(some(30)) + " " + "".join(part) + " " + " ".join(some(30)))
+    got = {(r, k) for r, k, *_ in leakage._search(leakage.ItemIndex(items, 12, 12, 0.04), docs)}
+    assert len(got & {(i, i) for i in range(300)}) >= 297 and all(r == k for r, k in got)
+
+
 def test_leaks_with_edits(spark):
     src = "the divisional engineer shall collect a sealed statement from every registered tenant before the monsoon season begins in full"
     d = spark.createDataFrame([(1, "Intro. " + src.replace("collect", "colect").replace("tenant", "tennant") + " Outro."), (2, "nothing of the kind at all")], "doc_id long, text string")
