@@ -32,6 +32,11 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return spanning.assign_splits(read(spark, d, "train"), read(spark, d, "doc_links"))
 
 
+def p2_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning forest of the ties: (a, b, round)."""
+    return spanning.spanning_forest(read(spark, d, "doc_links"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     grouped = spanning.groups(read(spark, d, "doc_links"))
     chunked = read(spark, d, "train").select(spanning.norm("document_id").alias("document_id")).distinct()
@@ -130,7 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_text_pieces, p1_chunk_pieces, p2_found, p2_splits, p3_found, p3_values, p4_found, p4_groups, p5_found, p5_links,
+            p1_found, p1_text_pieces, p1_chunk_pieces, p2_found, p2_splits, p2_forest, p3_found, p3_values, p4_found, p4_groups, p5_found, p5_links,
             p6_found, p6_segments, p7_found, p7_containers, p7_containers_bpe, p7_fill, p8_found, p8_leaks, p8_items, p9_found, p9_scores, p9_sources,
         )
     }

@@ -3,8 +3,8 @@
 Connected components by contraction of minimum edges (Boruvka): every component picks its least edge, the
 picked edges form trees of components, pointer doubling takes each tree to its root, edges inside a component
 go. The number of components with edges at least halves in a round, so rounds grow with the logarithm of the
-input. Every round's picks are written to the shared folder: together they are a spanning forest. Only counts
-reach the driver; edges, labels and forest stay in tables, so a lost executor costs no more than one round.
+input. Every round's picks are written to the shared folder: together they are a spanning forest, which
+``spanning_forest`` gives as rows and keeps under a path; ``groups_of`` reads groups from it. Only counts reach the driver; edges, labels and forest stay in tables, so a lost executor costs no more than one round.
 
 Hot nodes (a third of all edges at one key) are no bottleneck: picks are aggregated before the shuffle, and an
 end's new label is looked up with the node salted.
@@ -21,7 +21,7 @@ does a record tied to itself. Repeated rows change nothing. Records without any
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -60,19 +60,21 @@ def forest(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int = 64)
     live = scratch.keep(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct().withColumns({"x": F.col("u"), "y": F.col("v")}), f"{name}-live-0")
     maps: list[str] = []
     picks: list[str] = []
-    for step in range(max_rounds):
+    for step in range(max_rounds + 1):
         if live.isEmpty():
             break
+        if step == max_rounds:  # each round halves the components, so only a fault gets here
+            raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
         # order of edges: a hash first, so that chains do not contract one link a round; then the ends, for uniqueness
         weight = F.struct(F.xxhash64("u", "v").alias("w"), "u", "v", "x", "y")
         ends = live.select(F.col("x").alias("c"), weight.alias("e")).union(live.select(F.col("y").alias("c"), weight.alias("e")))
         pick = ends.groupBy("c").agg(F.min("e").alias("e")).select("c", F.when(F.col("e.x") == F.col("c"), F.col("e.y")).otherwise(F.col("e.x")).alias("p"), "e.u", "e.v")
         pick = scratch.keep(pick, f"{name}-pick-{step}")
         picks.append(f"{name}-pick-{step}")
-        # mutual picks: the smaller of the two is the root
-        parent = pick.select("c", "p").join(pick.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left")
-        parent = parent.select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
-        parent = scratch.keep(parent, f"{name}-up-{step}-0")
+        # mutual picks have one pair of ends: the smaller of the two is the root. No key has more than two rows
+        two = pick.groupBy(F.least("c", "p").alias("lo"), F.greatest("c", "p").alias("hi")).agg(F.count("*").alias("n"), F.min("c").alias("c"), F.min("p").alias("p"))
+        own = F.when(F.col("n") == 2, F.array(F.struct(F.col("lo").alias("c"), F.col("lo").alias("p")), F.struct(F.col("hi").alias("c"), F.col("lo").alias("p")))).otherwise(F.array(F.struct("c", "p")))
+        parent = scratch.keep(two.select(F.explode(own).alias("_e")).select("_e.c", "_e.p"), f"{name}-up-{step}-0")
         for hop in range(1, 64):  # pointer doubling
             # many children of one root: looking up its parent is salted too
             nxt = _relabel(parent.select(F.col("c").alias("u"), F.col("p").alias("v")), parent.select(F.col("c").alias("node"), F.col("p").alias("label")), "v", "g").select(F.col("u").alias("c"), F.col("g").alias("p"), (F.col("g") != F.col("v")).alias("_moved"))
@@ -103,6 +105,45 @@ def forest(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int = 64)
     return scratch.keep(labels, f"{name}-labels"), picks
 
 
+def salted_lookup(left: DataFrame, on: str, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of ``right`` (one row per key) where ``on`` equals ``key``, also if a third of all rows have one value."""
+    own = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    held = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.join(held.hint("merge"), (F.col(on) == F.col(key)) & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
+
+
+def pairs_within(members: DataFrame, item: str, group: str, block: int = 2000) -> DataFrame:
+    """(a, b), a < b: all pairs of items of one group, items being unique. A group of more than ``block`` items is cut into blocks,
+    and each pair of its blocks is a key of its own, so that no task holds a hot group."""
+    parts = members.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / block).cast("int").alias("_k"), F.count("*").alias("_m")).filter("_m > 1").drop("_m")
+    sized = salted_lookup(members.select(F.col(item).alias("_i"), F.col(group).alias("_o")), "_o", parts, "_g").filter("_k is not null")
+    own = F.pmod(F.xxhash64("_i"), F.col("_k")).cast("int")
+    each = sized.select("_i", "_o", own.alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_c"))
+    each = each.select("_i", "_o", "_b", F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"))
+    a, b = each.toDF("a", "_o", "_ba", "_lo", "_hi"), each.toDF("b", "_o", "_bb", "_lo", "_hi")
+    # within one block all pairs, between two blocks only those of different ones: each pair has one key
+    return a.join(b.hint("merge"), ["_o", "_lo", "_hi"]).filter((F.col("a") < F.col("b")) & ((F.col("_lo") == F.col("_hi")) | (F.col("_ba") != F.col("_bb")))).select("a", "b")
+
+
+def spanning_forest(links: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
+    """(a, b, round): the picked edges; they span every group without a cycle. With ``path`` they are kept there as a table."""
+    scratch = Scratch(links.sparkSession, "forest")
+    _, picks = forest(ties(links, **columns), scratch, "ties")
+    out = links.sparkSession.createDataFrame([], "a string, b string, round int")
+    for n, pick in enumerate(picks):
+        out = out.union(links.sparkSession.read.parquet(scratch.path(pick)).select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(n).alias("round")))
+    out = out.groupBy("a", "b").agg(F.min("round").alias("round"))  # both ends may pick an edge
+    if path is None:
+        return out
+    out.write.mode("overwrite").parquet(path)
+    return links.sparkSession.read.parquet(path)
+
+
+def groups_of(tree: DataFrame) -> DataFrame:
+    """(record, group_id) from a kept forest, as groups() gives it, without the links."""
+    return _grouped(tree.sparkSession, forest(tree.select("a", "b"), Scratch(tree.sparkSession, "tree"), "tree")[0])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, component) of every node with an edge (a, b); component is the least node of the component."""
     labels, _ = forest(edges, scratch, name)
@@ -116,9 +157,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
 def groups(links: DataFrame, **columns: str) -> DataFrame:
     """(record, group_id): records tied to others; group_id is the least record id of the group."""
     scratch = Scratch(links.sparkSession, "groups")
-    labels, _ = forest(ties(links, **columns), scratch, "ties")
+    return _grouped(links.sparkSession, forest(ties(links, **columns), scratch, "ties")[0])
+
+
+def _grouped(spark: SparkSession, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return links.sparkSession.createDataFrame([], "record string, group_id string")
+        return spark.createDataFrame([], "record string, group_id string")
     docs = labels.filter(F.col("node").startswith("D:")).select(F.expr("substring(node, 3)").alias("record"), "label")
     sized = docs.groupBy("label").agg(F.min("record").alias("group_id"), F.count("*").alias("_n")).filter("_n > 1")
     lab = sized.select(F.col("label").alias("node"), F.col("group_id").alias("label"))

@@ -129,6 +129,22 @@ def test_forest_spans(spark):
 LINKS = "document_id string, link_kind string, link_key string"
 
 
+def test_kept_forest(spark, tmp_path):
+    rows = [("a", "author", "k"), ("b", "author", "k"), ("c", "revision_of", "b"), ("a", "entity", "e"), ("c", "entity", "e"), ("x", "author", "y"), ("z", "author", "y"), ("q", "author", None)]
+    links = spark.createDataFrame(rows, LINKS)
+    tree = spanning.spanning_forest(links, path=str(tmp_path / "tree"))
+    edges = [(r["a"], r["b"]) for r in tree.collect()]
+    want = {tuple(r) for r in spanning.groups(links).collect()}
+    assert len(edges) == 6 and len({x for e in edges for x in e}) == 8  # nodes less groups
+    assert {tuple(r) for r in spanning.groups_of(spark.read.parquet(str(tmp_path / "tree"))).collect()} == want == {("A", "A"), ("B", "A"), ("C", "A"), ("X", "X"), ("Z", "X")}
+    assert spanning.spanning_forest(links.limit(0)).count() == 0
+
+
+def test_unfinished_components_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        spanning.forest(spark.createDataFrame([("a", "b")], "a string, b string"), Scratch(spark, "t"), "f", max_rounds=0)
+
+
 def test_groups(spark):
     rows = [(" a1", "author", "K1 "), ("B1", "entity", "k1"), ("c1", "revision_of", " b1\n"), ("d1", "author", "unknown"), ("e1", "author", "UNKNOWN "), ("f1", "author", None), ("g1", "author", " "), ("h1", "revision_of", "H1"), (None, "author", "K1"), ("i1", "author", "own")]
     got = {tuple(r) for r in spanning.groups(spark.createDataFrame(rows + rows, LINKS)).collect()}
@@ -254,6 +270,22 @@ def test_near_copies_equal_brute_force(spark, block):
     assert set(g) == {k for k, _ in live} and {k: v for k, v in union_find(got).items()} == {k: v for k, v in g.items() if any(k in x for x in got)}
 
 
+def test_of_several_texts_the_greatest_counts(spark):
+    w = " ".join(f"w{i}" for i in range(20))
+    for low, high in (("a ", "z "), ("q ", "r ")):
+        rows = [("k", low + "other words of a text"), ("k", high + w), ("m", low + w), ("n", low + "other words of a text")]
+        m, p = near_copies.near_copies(spark.createDataFrame(rows, "document_id string, text string"))
+        assert {tuple(r) for r in near_copies.copy_pairs(m, p).collect()} == {("k", "m")}
+
+
+@pytest.mark.parametrize("block", [3, 2000])
+def test_pairs_within_groups(spark, block):
+    rows = [(f"h{i}", "hot") for i in range(40)] + [("a", "g"), ("b", "g"), ("c", "lone"), ("d", None), ("e", None)]
+    got = [tuple(r) for r in spanning.pairs_within(spark.createDataFrame(rows, "n string, g string"), "n", "g", block).collect()]
+    want = {(x, y) for x, g in rows for y, h in rows if g == h and g and x < y}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_near_copies_of_nothing(spark):
     m, p = near_copies.near_copies(spark.createDataFrame([], "document_id string, text string"))
     assert m.count() == p.count() == near_copies.copy_groups(m, p).count() == 0
