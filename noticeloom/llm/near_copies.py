@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .spanning import components
+from .spanning import SALTS, components, pairs_within, salted_lookup
 
 COUNTERS = 22  # bits
 SHARED = 3  # L above
@@ -237,7 +237,11 @@ def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", thr
     scratch = Scratch(spark, "near")
     kind = df.schema[key].dataType.simpleString()
     rows = scratch.keep(rows_of(df, key, text, wide=False), "rows")
-    members = rows.groupBy("_key").agg(F.max(F.struct("sig_a", "sig_b", "id")).alias("_s")).select("_key", "_s.*")
+    members = rows.groupBy("_key").agg(F.max(F.struct("sig_a", "sig_b", "id")).alias("_s"), F.count_distinct("sig_a", "sig_b").alias("_n")).select("_key", "_s.*", "_n")
+    # of keys with several texts (their number is small beside the input) the greatest text counts
+    several = members.filter("_n > 1").select(F.col("_key").alias("_m"))
+    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(several, F.col("_k").eqNullSafe(F.col("_m")), "left_semi").groupBy("_k").agg(F.max("_t").alias("_t"))
+    members = members.filter("_n = 1").drop("_n").union(rows_of(texts, "_k", "_t", wide=False).select("_key", "sig_a", "sig_b", "id"))
     classes = members.groupBy("sig_a", "sig_b").agg(F.min(F.struct("_key", "id")).alias("_r"))
     out = scratch.keep(members.join(classes, ["sig_a", "sig_b"]).select(F.col("_key").alias(key), F.col("_r._key").alias("rep"), F.col("_r.id").alias("rep_id")), "members")
     # rows that stand for no class: few, unless copies abound; Spark picks the join by the table's size
@@ -271,11 +275,14 @@ def near_copies(df: DataFrame, key: str = "document_id", text: str = "text", thr
 
 
 def copy_pairs(members: DataFrame, pairs: DataFrame, key: str = "document_id") -> DataFrame:
-    """(key_a, key_b): all pairs of different keys whose texts are near copies, the smaller first, equal texts included."""
-    a = members.select(F.col(key).alias("_a"), F.col("rep").alias("_ra"))
-    b = members.select(F.col(key).alias("_b"), F.col("rep").alias("_rb"))
-    equal = a.join(b, F.col("_ra") == F.col("_rb")).filter("_a < _b").select("_a", "_b")
-    near = pairs.join(a, F.col("x") == F.col("_ra")).join(b, F.col("y") == F.col("_rb")).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
+    """(key_a, key_b): all pairs of different keys whose texts are near copies, the smaller first, equal texts included.
+    Copies of a hot text are paired in blocks."""
+    equal = pairs_within(members, key, "rep").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    # a representative may stand for many copies: their rows are spread over salts, the pairs are copied to each
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    sides = members.select(F.col(key).alias("_k"), F.col("rep").alias("_r"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_s"))
+    met = pairs.select("x", "y", every.alias("_s")).join(sides.toDF("_a", "x", "_s"), ["x", "_s"]).select("y", "_a", every.alias("_s"))
+    near = met.join(sides.toDF("_b", "y", "_s"), ["y", "_s"]).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
     return equal.union(near).select(F.col("_a").alias(f"{key}_a"), F.col("_b").alias(f"{key}_b"))
 
 
@@ -285,4 +292,5 @@ def copy_groups(members: DataFrame, pairs: DataFrame, key: str = "document_id")
     scratch = Scratch(members.sparkSession, "copies")
     comp = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "near")
     degree = pairs.select(F.col("x").alias("_r")).union(pairs.select("y")).groupBy("_r").agg(F.count("*").alias("links"))
-    return members.join(comp, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("_r"), "left").select(key, F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("int").alias("links"))
+    facts = comp.join(degree, F.col("node") == F.col("_r"), "left")  # one row per representative with links
+    return salted_lookup(members, "rep", facts, "node").select(key, F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("int").alias("links"))
