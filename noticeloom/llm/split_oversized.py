@@ -2,9 +2,9 @@
 
 A boundary is a place where the text pauses; its strength says how long. A sparse table over the
 boundaries answers "the strongest cut in this window, the rightmost of equals" in two look-ups.
-A piece ends at the strongest boundary of the upper half of the permissible window, else of its
-lower half, else (no boundary at all) at the limit; the next piece starts ``overlap`` units before
-that end. Joining the pieces without their overlaps gives the item back, character for character.
+A piece ends at the strongest boundary of the permissible window, which reaches from the least length of a
+piece (a quarter of the limit, and more than the overlap) to the limit; without any boundary there, at the limit.
+The next piece starts ``overlap`` units before that end. Joining the pieces without their overlaps gives the item back, character for character.
 
 Nulls, empty and blank texts are never oversized. Rows delivered twice give one item. Items whose
 key is null are one item per key value, as in GROUP BY.
@@ -101,10 +101,8 @@ def cut(n: int, at: np.ndarray, strength: np.ndarray, limit: int, overlap: int,
     table = StrongestCut(at, strength, limit) if len(at) else None
     out, start = [], 0
     while n - start > limit:
-        lo, mid, hi = start + overlap + 1, start + max(limit // 2, overlap + 1), start + limit
-        end = table.query(mid, hi) if table else -1
-        if end < 0 and table:
-            end = table.query(lo, mid - 1)
+        lo, hi = start + max(limit // 4, overlap + 1), start + limit
+        end = table.query(lo, hi) if table else -1
         if end < 0:
             end = hard(lo, hi) if hard else hi
         out.append((start, end))
