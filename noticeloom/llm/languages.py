@@ -68,7 +68,7 @@ def code_points(text: str) -> np.ndarray:
 
 
 def grams(cp: np.ndarray) -> np.ndarray:
-    """The row of each position's trigram (of the character, the one before and the one after); 2**BITS: none."""
+    """The row of each position's trigram (of the character, the one before and the one after); 2**BITS: none. 32-bit numbers."""
     t = _tables()
     c = t["fold"][cp]
     p = np.concatenate([np.array([32], dtype=np.uint32), c, np.array([32], dtype=np.uint32)])
@@ -77,7 +77,7 @@ def grams(cp: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
-    return np.where(c == 32, 1 << BITS, (h & np.uint32((1 << BITS) - 1)).astype(np.int64))
+    return np.where(c == 32, np.int32(1 << BITS), (h & np.uint32((1 << BITS) - 1)).astype(np.int32))
 
 
 def units(cp: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def unit_facts(cp: np.ndarray, starts: np.ndarray, table: np.ndarray | None) ->
 
 def _fit(g: np.ndarray, c: np.ndarray, classes: int) -> np.ndarray:
     """g: trigram rows; c: the class of each."""
-    counts = np.bincount(g * classes + c, minlength=((1 << BITS) + 1) * classes).reshape(-1, classes).astype(np.float64)
+    counts = np.bincount(g * np.int32(classes) + c.astype(np.int32), minlength=((1 << BITS) + 1) * classes).reshape(-1, classes).astype(np.float64)
     counts[-1] = 0
     total = counts[:-1].sum(axis=0)
     table = np.log((counts + 0.02) / (total + 0.02 * (1 << BITS)))
@@ -237,14 +237,15 @@ def segments_of(starts, letters, counts, sentence, scores, switch: float = 16.0)
     return out
 
 
-def fit(df: DataFrame, key: str = "document_id", text: str = "text", lang: str = "lang", train_rows: int = 3000, longest: int = 200_000) -> np.ndarray:
-    """Fits on at most 2 * train_rows labelled rows (expected: train_rows) of texts up to ``longest`` characters, chosen by a
-    hash of the key."""
-    labelled = F.lower(F.btrim(F.col(lang))).isin(list(LANGUAGES)) & (F.length(F.col(text)) <= longest)
-    rows = df.select(lang).filter(F.lower(F.btrim(F.col(lang))).isin(list(LANGUAGES))).count()
-    buckets = 1_000_000
-    share = min(buckets, int(buckets * train_rows / max(1, rows)) + 1)
-    sample = df.filter(labelled & (F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(buckets)) < share)).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).orderBy("k", "t").limit(2 * train_rows)
+def fit(df: DataFrame, key: str = "document_id", text: str = "text", lang: str = "lang", train_rows: int = 3000, longest: int = 6000) -> np.ndarray:
+    """Fits on at most 2 * train_rows labelled rows (expected: train_rows), chosen by a hash of the key; of a text longer than
+    ``longest`` characters a stretch of that length is taken, at a place chosen by a hash. So the sample is bounded in characters."""
+    labelled = F.lower(F.btrim(F.col(lang))).isin(list(LANGUAGES)) & (F.length(F.col(text)) > 0)
+    rows = df.filter(labelled).count()
+    bound = min(1 << 62, -(-(1 << 62) * train_rows // max(1, rows)))
+    h = F.xxhash64(F.lit(3), F.col(key), F.col(text))
+    at = F.pmod(h, F.greatest(F.length(text) - longest + 1, F.lit(1))).cast("int") + 1
+    sample = df.filter(labelled & (F.pmod(h, F.lit(1 << 62)) < bound)).select(F.col(text).substr(at, F.lit(longest)).alias("t"), F.col(lang).alias("l"), h.alias("h")).orderBy("h", "t").limit(2 * train_rows)
     got = sample.toArrow()
     return train(got.column("t").to_pylist(), got.column("l").to_pylist())
 
