@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -32,8 +33,11 @@ def pattern_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PATTERN)), F.lit(0)).cast("int")
 
 
-def bpe_size(path: str, pattern: str | None = None):
-    """A column function that counts tokens of the byte-pair vocabulary in the tiktoken file ``path``."""
+def bpe_size(spark: SparkSession, path: str, pattern: str):
+    """A column function that counts tokens of the byte-pair vocabulary in the tiktoken file ``path``, which is sent to the
+    executors; ``pattern`` cuts texts before the merges."""
+    spark.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
 
     @F.pandas_udf("int")
     def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -41,14 +45,9 @@ def bpe_size(path: str, pattern: str | None = None):
 
         import tiktoken
 
-        pat = pattern
-        if pat is None:
-            import public_tokenizers
-
-            pat = public_tokenizers.PATTERN
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for s in batches:
             yield s.map(lambda t: len(enc.encode_ordinary(t)) if t else 0)
 
@@ -98,10 +97,10 @@ def items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 512, max_items: int = 64, attention: float | None = None, size=pattern_size, shard_items: int = 8192, rule: str = "residual") -> DataFrame:
     """(container_id, key, piece_no, token_start, n_tokens): every document placed once, divided only if
     longer than ``capacity``. container_id is unique over all shards and repeatable. ``attention`` bounds the sum of
-    squared lengths; an item whose own square exceeds it has a container alone. Its default, capacity squared, is implied
-    by the token capacity and only shifts the score; lower values bind."""
+    squared lengths; an item whose own square exceeds it has a container alone. Its default is three quarters of the capacity
+    squared, since a sum of squares above the capacity squared can't occur: two long items then don't share a container."""
     ship(df.sparkSession)
-    attention = float(capacity * capacity if attention is None else attention)
+    attention = float(0.75 * capacity * capacity if attention is None else attention)
     if attention <= 0:
         raise ValueError("the attention capacity must be positive")
     found = items(df, key, text, capacity, size)
@@ -114,9 +113,12 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
         return pd.DataFrame({"container_id": [f"{s}-{c}" for s, c in zip(pdf["_shard"], at)], key: pdf[key], "piece_no": pdf["piece_no"], "token_start": pdf["token_start"], "n_tokens": pdf["n_tokens"]})
 
     # the key travels as a string: pandas would turn whole numbers beside a null into floats
+    # packing is work for the processor: as many tasks as shards, up to some per core, which no adaptive plan merges
+    tasks = min(shards, max(200, 8 * df.sparkSession.sparkContext.defaultParallelism))
     return (
         found.withColumn("_shard", F.pmod(F.xxhash64(key, "piece_no"), F.lit(shards)).cast("int"))
         .withColumn(key, F.col(key).cast("string"))
+        .repartition(tasks, "_shard")
         .groupBy("_shard")
         .applyInPandas(place, f"container_id string, `{key}` string, piece_no int, token_start int, n_tokens int")
         .withColumn(key, F.col(key).cast(kind))

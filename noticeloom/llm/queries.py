@@ -21,6 +21,19 @@ def p1_chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized.chunk_pieces(read(spark, d, "train"))
 
 
+def p1_cover(spark: SparkSession, d: str) -> DataFrame:
+    """(document_id, chunk_index, covered, oversized, loose): per item that is cut, the units its pieces cover together, the
+    pieces above the limit, and the joints where a piece does not start the overlap before its forerunner's end."""
+    from pyspark.sql import Window
+
+    texts = p1_text_pieces(spark, d).select("document_id", F.lit(-1).alias("chunk_index"), "piece_no", "piece_start", "piece_end", F.lit(4000).alias("most"), F.lit(200).alias("over"))
+    chunks = p1_chunk_pieces(spark, d).select("document_id", F.col("chunk_index").cast("int"), "piece_no", "piece_start", "piece_end", F.lit(64).alias("most"), F.lit(16).alias("over"))
+    w = Window.partitionBy("document_id", "chunk_index").orderBy("piece_no")  # the pieces of one item
+    last = F.lag("piece_end").over(w)
+    j = texts.union(chunks).withColumns({"_gain": F.col("piece_end") - F.coalesce(last, F.lit(0)), "_loose": F.coalesce(F.col("piece_start") != last - F.col("over"), F.col("piece_start") != 0)})
+    return j.groupBy("document_id", "chunk_index").agg(F.sum("_gain").alias("covered"), F.count_if(F.col("piece_end") - F.col("piece_start") > F.col("most")).alias("oversized"), F.count_if("_loose").alias("loose"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Items of more than one piece."""
     texts = p1_text_pieces(spark, d).filter("piece_no = 2").select("document_id", F.lit(-1).alias("chunk_index"))
@@ -93,15 +106,24 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(read(spark, d, "documents"))
 
 
-def p7_containers_bpe(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken") -> DataFrame:
+# how a public byte-pair vocabulary cuts texts before its merges
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def p7_containers_bpe(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", pattern: str = PRETOKENS) -> DataFrame:
     """Sizes in tokens of a public byte-pair vocabulary."""
-    return pack.pack(read(spark, d, "documents"), size=pack.bpe_size(vocabulary))
+    return pack.pack(read(spark, d, "documents"), size=pack.bpe_size(spark, vocabulary, pattern))
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.fill(p7_containers(spark, d))
 
 
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, pieces, tokens): what the containers hold of every document."""
+    return p7_containers(spark, d).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that the packing divided."""
     return p7_containers(spark, d).filter("piece_no = 2").select("doc_id")
@@ -135,7 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_text_pieces, p1_chunk_pieces, p2_found, p2_splits, p2_forest, p3_found, p3_values, p4_found, p4_groups, p5_found, p5_links,
-            p6_found, p6_segments, p7_found, p7_containers, p7_containers_bpe, p7_fill, p8_found, p8_leaks, p8_items, p9_found, p9_scores, p9_sources,
+            p1_found, p1_text_pieces, p1_chunk_pieces, p1_cover, p2_found, p2_splits, p2_forest, p3_found, p3_values, p4_found, p4_groups, p5_found, p5_links,
+            p6_found, p6_segments, p7_found, p7_documents, p7_containers, p7_containers_bpe, p7_fill, p8_found, p8_leaks, p8_items, p9_found, p9_scores, p9_sources,
         )
     }

@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -61,6 +62,12 @@ def test_cuts_are_the_strongest_and_rightmost():
         assert table.query(lo, hi) == (max(inside)[1] if inside else -1)
 
 
+def test_a_stronger_cut_beats_a_later_one():
+    text = "a" * 20 + " " + "b" * 23 + "\n\n" + "c" * 10 + ", " + "d" * 60 + " end"
+    assert split_oversized.cut_text(text, 100, 10)[0] == (0, 46)  # the paragraph, not the comma nor the limit
+    assert split_oversized.cut_text("a" * 20 + "\n\n" + "b" * 60 + " " + "c" * 60, 100, 10)[0] == (0, 83)  # a piece has a quarter of the limit at least
+
+
 def test_oversized_rows(spark):
     long = "One sentence here. " * 300
     rows = [("a", long, 1, "clash"), ("a", long, 2, "clash"), ("b", "  " + "x" * 4000 + "\n", 1, None), ("c", "x" * 4001, None, None), ("d", None, 1, None), ("e", "", 1, None), (None, long, 1, None)]
@@ -387,6 +394,7 @@ def test_packing(spark):
         for r in got:
             by[r["container_id"]].append(r["n_tokens"])
         assert all(sum(v) <= 512 and len(v) <= 20 for v in by.values())
+        assert all(len(v) == 1 or sum(n * n for n in v) <= 0.75 * 512 * 512 for v in by.values())
         size = defaultdict(int)
         for r in got:
             size[r["doc_id"]] += r["n_tokens"]
@@ -413,6 +421,17 @@ def test_attention_capacity_binds(spark):
         assert Counter(n for v in by.values() if len(v) == 1 for n in v)[400] == 3
 
 
+def test_fill_of_the_tables(spark):
+    """At most 2 % more containers than the tokens alone would need, plus the last ones of the shards."""
+    from noticeloom.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    if not Path(d).exists():
+        pytest.skip("no test tables")
+    f = queries.p7_fill(spark, d).first()
+    assert f["lower_bound"] <= f["containers"] <= 1.02 * f["lower_bound"] + 8
+
+
 def test_pattern_size(spark):
     df = spark.createDataFrame([("a, b!!c\td", 7), (None, 0), ("", 0), (" \n", 0), ("é[x]", 4)], "t string, n int")
     assert df.filter(pack.pattern_size(F.col("t")) != F.col("n")).count() == 0
