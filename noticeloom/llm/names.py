@@ -2,17 +2,19 @@
 
 Every distinct raw value is read once: lower case, look-alike digits, honorifics and "(HQ)" off, then as an
 office (head word, subject, place; or initials of these), or as an officer (given name or initial, surname,
-post). The reading yields a short signature in fixed order ("bohc|choshabaruwadi": initials and place;
-"hochulidu": surname), so that reordered parts, abbreviations and initials no longer differ. Offices with a place
-have the place among those of one head as a second signature, as their subjects may differ by more than K edits.
+post). A reading in fixed order is the normalised name, in which reordered parts no longer differ. The word lists that
+expand short heads and posts only normalise; ``lists=NO_LISTS`` links without them (README has the recall of both).
 
-Signatures are joined within ``K`` edits by the pigeonhole principle: a signature is cut into K + 1 segments,
-one of which any near signature must contain unharmed, at a position shifted by at most the length difference
-and the edits before it. The segments form an inverted index; the shifted substrings of every signature look
-them up; the pairs found are verified by banded edit distance and by comparing the readings. Values that are
-equal as readings are one class from the start and joined by one representative only.
+Names are joined within ``K`` edits by the pigeonhole principle: a text is cut into k + 1 segments, one of which any text
+within k edits must contain unharmed, at a position shifted by at most what the edits before and behind it allow. The
+segments of one name of every reading form an inverted index; the shifted substrings of every name look them up, also of
+names read alike, which meet their reading's name at distance 0. The pairs found are verified by banded edit distance and by
+comparing the readings. Each name gives several texts: the normalised name; initials and place, as abbreviations are too
+far from their full names; the place among offices of one head, the subject among those without a place, and the surname
+among officers of one initial and post, as the rest may differ by more than K edits.
 
-Linked classes are merged by contraction of minimum edges (the operator of problem 2), so chains of any length work.
+A segment that many names share is cut in blocks on both sides, and each pair of blocks is a key of its own.
+Linked readings are merged by contraction of minimum edges (the operator of problem 2), so chains of any length work.
 
 Null and blank values name nobody and are not linked. Values are neither trimmed nor folded in the result.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,9 +31,10 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .edits import abbreviates, banded, fold, levenshtein, words
-from .spanning import components
+from .spanning import components, salted_lookup
 
 K = 2
+SHORT = 6
 
 # fixed values: words that head the names of offices, and their usual short forms
 HEADS = ["agency", "authority", "board", "bureau", "commission", "commissionerate", "committee", "corporation", "council", "department", "directorate", "division", "inspectorate", "ministry", "office", "registry", "secretariat", "tribunal"]
@@ -47,6 +51,21 @@ HONORIFICS = {"shri", "smt", "dr", "mr", "mrs", "ms", "sri", "kum", "km", "prof"
 JOINTS = {"of", "the", "at", "and", "for", "hq", "in", "&"}
 
 
+class Lists(NamedTuple):
+    """The vocabulary that readings are normalised by."""
+
+    heads: list[str] = HEADS
+    short_heads: dict[str, str] = SHORT_HEADS
+    placeless: set[str] = PLACELESS
+    posts: list[str] = POST_WORDS
+    short_posts: dict[str, str] = SHORT_POSTS
+    honorifics: set[str] = HONORIFICS
+
+
+LISTS = Lists()
+NO_LISTS = Lists([], {}, set(), [], {}, set())
+
+
 def _lookup(word: str, full: list[str], short: dict[str, str], strict: bool = False) -> str | None:
     """The vocabulary word that ``word`` is, abbreviates or misspells."""
     if word in full:
@@ -66,15 +85,12 @@ def _lookup(word: str, full: list[str], short: dict[str, str], strict: bool = Fa
     return best[1] if best else None
 
 
-def _post(ws: list[str]) -> list[str] | None:
-    out = [_lookup(w, POST_WORDS, SHORT_POSTS) for w in ws]
+def _post(ws: list[str], lists: Lists) -> list[str] | None:
+    out = [_lookup(w, lists.posts, lists.short_posts) for w in ws]
     return out if out and all(out) else None  # type: ignore[return-value]
 
 
-_ACRONYM = re.compile(r"^((?:[a-z]\.){3,}|[A-Z]o[A-Z]{1,4})(?=$|[\s,(:-])")
-
-
-def read(raw: str) -> dict | None:
+def read(raw: str, lists: Lists = LISTS) -> dict | None:
     """The reading of a raw value: kind (office, initials, officer), and its parts as folded words."""
     s = fold(raw)
     if not words(s):
@@ -83,9 +99,9 @@ def read(raw: str) -> dict | None:
     s = re.sub(r"^the\s+", "", s.strip(" .,;-"))
     ws = words(s)
     # officers
-    honor = bool(ws) and ws[0] in HONORIFICS
-    body = re.sub(r"^(%s)\b\.?\s*" % "|".join(sorted(HONORIFICS)), "", s) if honor else s
-    officer = _officer(body, honor)
+    honor = bool(ws) and ws[0] in lists.honorifics
+    body = re.sub(r"^(%s)\b\.?\s*" % "|".join(sorted(lists.honorifics)), "", s) if honor else s
+    officer = _officer(body, honor, lists)
     if officer:
         return officer
     # initials: letters of the raw value tell BoHC from a word
@@ -96,29 +112,29 @@ def read(raw: str) -> dict | None:
         rest = words(fold(bare[m.end() :]))
         place = " ".join(w for w in rest if w not in JOINTS)
         return {"kind": "initials", "head": letters[0], "subject": letters, "place": place}
-    return _office(s)
+    return _office(s, lists)
 
 
-def _officer(s: str, honor: bool) -> dict | None:
+def _officer(s: str, honor: bool, lists: Lists) -> dict | None:
     post: list[str] | None = None
     name = s
     m = re.match(r"^(.*?)\s*\(([^)]*)\)\s*$", s)
-    if m and (p := _post(words(m[2]))):
+    if m and (p := _post(words(m[2]), lists)):
         name, post = m[1], p
     elif "," in s:
         parts = [x.strip() for x in s.split(",")]
-        if p := _post(words(parts[-1])):
+        if p := _post(words(parts[-1]), lists):
             name, post = ", ".join(parts[:-1]), p
     if post is None:
         w = words(s)
-        if len(w) > 2 and len(w[0]) == 1 and (p := _post(w[2:])):  # G Surname Post
+        if len(w) > 2 and len(w[0]) == 1 and (p := _post(w[2:], lists)):  # G Surname Post
             name, post = f"{w[0]} {w[1]}", p
     if post is None:
         if re.fullmatch(r"[^\W\d_]{4,} [^\W\d_]\.?", s):  # Surname G.
             w = words(s)
             return {"kind": "officer", "surname": w[0], "given": w[1], "post": ""}
         w = words(s)
-        plain = len(w) == 2 and min(map(len, w)) > 2 and "," not in s and not any(_lookup(x, HEADS, SHORT_HEADS) for x in w)
+        plain = len(w) == 2 and min(map(len, w)) > 2 and "," not in s and not any(_lookup(x, lists.heads, lists.short_heads) for x in w)
         if not (honor or plain):
             return None
     comma = re.match(r"^([^,]+),\s*([^,]+)$", name)
@@ -135,7 +151,7 @@ def _officer(s: str, honor: bool) -> dict | None:
     return {"kind": "officer", "surname": surname, "given": given, "post": " ".join(post or []), "order": order}
 
 
-def _office(s: str) -> dict:
+def _office(s: str, lists: Lists) -> dict:
     place = ""
     core = s
     m = re.match(r"^(.*?)\s*\(([^)]+)\)\s*$", core)
@@ -152,39 +168,84 @@ def _office(s: str) -> dict:
     for strict in (True, False):
         for i in order:
             # an abbreviation of one letter or two stands first
-            if (h := _lookup(w[i], HEADS, SHORT_HEADS, strict)) and (len(w[i]) > 3 or i == 0):
+            if (h := _lookup(w[i], lists.heads, lists.short_heads, strict)) and (len(w[i]) > 3 or i == 0):
                 head, at = h, i
                 break
         if head:
             break
     subject = [x for i, x in enumerate(w) if i != at]
-    if head and not places and head not in PLACELESS and at == len(w) - 1 and len(subject) > 1:
+    if head and not places and head not in lists.placeless and at == len(w) - 1 and len(subject) > 1:
         places, subject = subject[:1], subject[1:]  # Place Subject Head
     return {"kind": "office", "head": head, "subject": " ".join(subject), "place": " ".join(places)}
 
 
-def signature(r: dict) -> tuple[str, str]:
-    """(block, text): only signatures of one block meet; near texts are candidates."""
+class Signature(NamedTuple):
+    """A text to be joined on: only those of one block meet, within ``k`` edits, of short texts (under SHORT characters) ``small``."""
+
+    block: str
+    text: str
+    small: int = K
+    k: int = K
+
+    def within(self, n: int) -> int:
+        """The edits allowed against a text of length n."""
+        return self.small if min(n, len(self.text)) < SHORT else self.k
+
+
+def normalised(r: dict) -> str:
+    """The reading as one text, its parts in fixed order."""
+    parts = (r["given"], r["surname"], r["post"]) if r["kind"] == "officer" else (r.get("head", ""), r["subject"], r["place"])
+    return " ".join(x for x in parts if x)
+
+
+def signatures(r: dict) -> list[Signature]:
+    """What the name is joined on. All that same() accepts is near in one of them."""
+    out = [Signature("n:" + r["kind"], normalised(r))]
     if r["kind"] == "officer":
-        return "p", r["surname"]
-    if r["kind"] == "initials":
-        return ("o", f"{r['subject']}|{r['place']}") if r["place"] else ("m:" + r["subject"], r["subject"])
-    subject = r["subject"].split()
-    if not r["head"]:
-        return "x", f"{r['subject']} {r['place']}".strip()
-    initials = r["head"][0] + "o" + "".join(x[0] for x in subject)
-    if r["place"]:
-        return "o", f"{initials}|{r['place']}"
-    return f"m:{initials}", initials
-
-
-def full_signature(r: dict) -> tuple[str, str] | None:
-    """A second signature for offices: the place, near in all that same() accepts; without a place the subject, as initials are too short to bear an edit."""
-    if r["kind"] == "office" and r["place"]:
-        return "l:" + r["head"], r["place"]
-    if r["kind"] == "office" and r["head"]:
-        return "f:" + r["head"], r["subject"]
-    return None
+        for given, surname in {(r["given"], r["surname"]), (r["surname"], r["given"])}:
+            if surname and given and (len(surname) > 2 or surname == r["surname"]):  # Surname Given without a comma
+                # a post meets the same post and none; none meets all
+                out += [Signature(f"p:{given[0]}:{post}", surname, 1) for post in {r["post"], "*"}]
+    elif r["kind"] == "initials":
+        out.append(Signature("o", f"{r['subject']}|{r['place']}") if r["place"] else Signature("m", r["subject"], 0, 0))
+    elif r["head"]:
+        initials = r["head"][0] + "o" + "".join(x[0] for x in r["subject"].split())
+        if r["place"]:
+            out += [Signature("o", f"{initials}|{r['place']}"), Signature("l:" + r["head"], r["place"], 0)]
+        else:
+            out += [Signature("m", initials, 0, 0), Signature("f:" + r["head"], r["subject"])]
+    else:
+        out.append(Signature("x", f"{r['subject']} {r['place']}".strip()))
+    return [x for x in out if x.text]
+
+
+def index_keys(r: dict) -> set[str]:
+    """The segments under which a name stands in the index."""
+    out = set()
+    for sig in signatures(r):
+        n = len(sig.text)
+        for k in {sig.within(m) for m in range(max(1, n - sig.k), n + sig.k + 1)}:
+            out |= {f"{sig.block}\x1f{k}\x1f{n}\x1f{i}\x1f{seg}" for i, _, seg in segments(sig.text, k)}
+    return out
+
+
+def probe_keys(r: dict) -> set[str]:
+    """The segments under which names near to this one stand."""
+    out = set()
+    for sig in signatures(r):
+        block = sig.block
+        if block.startswith("p:"):
+            # without a post: all under the star; with one: its own post and none
+            if block.endswith(":*") != (r["post"] == ""):
+                blocks = [block[:-1]] if r["post"] else []
+            else:
+                blocks = [block]
+        else:
+            blocks = [block]
+        for k in {sig.small, sig.k}:
+            found = {(n, i, x) for n, i, x in probes(sig.text, k) if sig.within(n) == k}
+            out |= {f"{b}\x1f{k}\x1f{n}\x1f{i}\x1f{x}" for b in blocks for n, i, x in found}
+    return out
 
 
 def _swapped(r: dict) -> dict:
@@ -249,11 +310,16 @@ def segments(s: str, k: int = K) -> list[tuple[int, int, str]]:
 
 
 def probes(s: str, k: int = K) -> set[tuple[int, int, str]]:
-    """(length, number, substring): what an indexed signature of that length within k edits must hold at one place."""
+    """(length, number, substring): of any text of that length within k edits, one segment stands here. Segment i may have
+    moved by i edits before it, and by k - i behind it, counted from the end."""
     out = set()
     for n in range(max(1, len(s) - k), len(s) + k + 1):
-        for i, start, seg in segments("?" * n, k):
-            for at in range(max(0, start - k), min(len(s) - len(seg), start + k) + 1):
+        parts = segments("?" * n, k)
+        whole = len(parts) == k + 1  # shorter texts have fewer segments than edits
+        d = len(s) - n
+        for i, start, seg in parts:
+            lo, hi = (max(start - i, start + d - (k - i)), min(start + i, start + d + (k - i))) if whole else (start - k, start + k)
+            for at in range(max(0, lo), min(len(s) - len(seg), hi) + 1):
                 out.add((n, i, s[at : at + len(seg)]))
     return out
 
@@ -262,14 +328,14 @@ READING = "raw string, class_key string, kind string, head string, subject strin
 _PARTS = ["kind", "head", "subject", "place", "surname", "given", "post"]
 
 
-def readings(values: DataFrame, column: str = "name") -> DataFrame:
+def readings(values: DataFrame, column: str = "name", lists: Lists = LISTS) -> DataFrame:
     """READING of every distinct non-blank value. class_key is equal for values read alike."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for raw in pdf["_v"]:
-                r = read(raw)
+                r = read(raw, lists)
                 if r:
                     parts = [r.get(p, "") or "" for p in _PARTS]
                     rows.append((raw, "|".join(parts), *parts))
@@ -279,36 +345,30 @@ def readings(values: DataFrame, column: str = "name") -> DataFrame:
     return distinct.mapInPandas(run, READING)
 
 
-def _signatures(r: dict) -> list[tuple[str, str]]:
-    out = [signature(r)]
-    if (f := full_signature(r)) is not None:
-        out.append(f)
-    if r["kind"] == "officer" and len(r["given"]) > 2:
-        out.append(signature(_swapped(r)))  # Surname Given without a comma
-    return [(b, s) for b, s in out if s]
-
-
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): class keys with a segment in common at fitting positions, a < b."""
+def candidate_pairs(names: DataFrame, scratch: Scratch, block: int = 2000) -> DataFrame:
+    """(raw, own, class_key): every name (raw, of the reading ``own``) with the readings whose indexed name has a segment in
+    common with it, at a fitting position. names: READING."""
 
-    def keys(batches: Iterator[pd.DataFrame], index: bool) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pd.DataFrame], make, column: str) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = set()
-            for r in pdf.to_dict("records"):
-                for block, s in _signatures(r):
-                    found = [(len(s), i, seg) for i, _, seg in segments(s)] if index else probes(s)
-                    rows |= {(r["class_key"], f"{block}\x1f{n}\x1f{i}\x1f{seg}") for n, i, seg in found}
-            yield pd.DataFrame(list(rows), columns=["class_key", "segment"])
-
-    held = classes.mapInPandas(lambda b: keys(b, True), "class_key string, segment string")
-    asked = classes.mapInPandas(lambda b: keys(b, False), "class_key string, segment string")
-    return (
-        held.withColumnRenamed("class_key", "_x")
-        .join(asked.withColumnRenamed("class_key", "_y").hint("merge"), "segment")  # compresses too well for its size to tell
-        .filter("_x <> _y")
-        .select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
-        .distinct()
-    )
+            rows = [(r[column], r["class_key"], x) for r in pdf.to_dict("records") for x in make(r)]
+            yield pd.DataFrame(rows, columns=["who", "class_key", "segment"])
+
+    kind = "who string, class_key string, segment string"
+    one = names.groupBy("class_key").agg(F.min_by(F.struct(*_PARTS), "raw").alias("_p")).select("class_key", "_p.*")
+    held = scratch.keep(one.mapInPandas(lambda b: keys(b, index_keys, "class_key"), kind).select("class_key", "segment"), "index")
+    asked = scratch.keep(names.mapInPandas(lambda b: keys(b, probe_keys, "raw"), kind).select(F.col("who").alias("raw"), F.col("class_key").alias("own"), "segment"), "probes")
+    # hot segments: blocks of names on both sides; what is asked for and not held drops out here, too
+    n_held = held.groupBy(F.col("segment").alias("_s")).agg(F.count("*").alias("_h"))
+    n_asked = asked.groupBy(F.col("segment").alias("_t")).agg(F.count("*").alias("_a"))
+    many = n_held.join(n_asked, F.col("_s") == F.col("_t")).filter((F.col("_h") > block) | (F.col("_a") > block))
+    hot = scratch.keep(many.select("_s", F.ceil(F.col("_h") / block).cast("int").alias("_ph"), F.ceil(F.col("_a") / block).cast("int").alias("_pa")), "hot")
+    parts = lambda c: F.coalesce(F.col(c), F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    left = salted_lookup(held, "segment", hot.withColumnRenamed("_s", "_k"), "_k").select("class_key", "segment", F.pmod(F.xxhash64("class_key"), parts("_ph")).cast("int").alias("_bh"), every("_pa").alias("_ba"))
+    right = salted_lookup(asked, "segment", hot.withColumnRenamed("_s", "_k"), "_k").select("raw", "own", "segment", F.pmod(F.xxhash64("raw"), parts("_pa")).cast("int").alias("_ba"), every("_ph").alias("_bh"))
+    # compresses too well for its size to tell: never broadcast
+    return left.join(right.hint("merge"), ["segment", "_bh", "_ba"]).select("raw", "own", "class_key").distinct()
 
 
 def _whole(r: dict) -> bool:
@@ -316,43 +376,51 @@ def _whole(r: dict) -> bool:
     return r["kind"] == "office" or bool(r["post"])
 
 
-def links(classes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidate pairs whose readings name the same."""
+def links(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(raw, a, b, bare): the candidates whose readings a and b name the same; a is the reading of raw, b may be the same one."""
     parts = F.struct(*_PARTS)
-    sides = candidates.join(classes.select(F.col("class_key").alias("a"), parts.alias("ra")).hint("merge"), "a").join(classes.select(F.col("class_key").alias("b"), parts.alias("rb")).hint("merge"), "b")
+    classes = names.groupBy("class_key").agg(F.min_by(parts, "raw").alias("rb")).withColumnRenamed("class_key", "_k")
+    mine = classes.select(F.col("_k").alias("_own"), F.col("rb").alias("ra"))
+    sides = salted_lookup(salted_lookup(candidates, "class_key", classes, "_k"), "own", mine, "_own")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["ra"], pdf["rb"]):
-                hit = same(x, y)
+                hit = x == y or same(x, y)
                 if not hit and x["kind"] == y["kind"] == "officer":
                     hit = same(_swapped(x), y) or same(x, _swapped(y))
                 ok.append(hit)
-            yield pdf.loc[ok, ["a", "b"]].assign(bare=[not (_whole(x) and _whole(y)) for x, y, k in zip(pdf["ra"], pdf["rb"], ok) if k])
+            bare = [not (_whole(x) and _whole(y)) for x, y, k in zip(pdf["ra"], pdf["rb"], ok) if k]
+            yield pdf.loc[ok, ["raw", "own", "class_key"]].set_axis(["raw", "a", "b"], axis=1).assign(bare=bare)
 
-    return sides.mapInPandas(run, "a string, b string, bare boolean")
+    return sides.select("raw", "own", "class_key", "ra", "rb").mapInPandas(run, "raw string, a string, b string, bare boolean")
 
 
-def link_names(values: DataFrame, column: str = "name") -> DataFrame:
-    """(name, name_class): one row per distinct non-blank raw value that can be read; equal classes name the same.
+def link_names(values: DataFrame, column: str = "name", lists: Lists = LISTS) -> DataFrame:
+    """(name, name_class, links): one row per distinct non-blank raw value that can be read; equal classes name the same. links
+    counts the other readings that this one is itself linked with, not over others.
 
     An officer given without a post ("Surname G.") or an office given by initials joins the one it fits, unless
     several that are told apart by their posts or names fit it alike.
     """
     scratch = Scratch(values.sparkSession, "names")
-    read_ = scratch.keep(readings(values, column), "readings")
-    classes = read_.select("class_key", *_PARTS).distinct()
-    found = scratch.keep(links(classes, candidate_pairs(classes)), "links")
+    read_ = scratch.keep(readings(values, column, lists), "readings")
+    every = scratch.keep(links(read_, candidate_pairs(read_, scratch)), "links")
+    own = every.filter("a = b").select("raw", F.col("a").alias("class_key"))
+    found = scratch.keep(every.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bare").distinct(), "found")
     sure = components(found.filter(~F.col("bare")).select("a", "b"), scratch, "sure")
     # links of bare values: only where all of a bare value's whole partners are one component
-    posts = classes.select("class_key", ((F.col("kind") == "office") | (F.col("post") != "")).alias("_has"))
+    posts = read_.groupBy("class_key").agg(F.max((F.col("kind") == "office") | (F.col("post") != "")).alias("_has"))
     bare = found.filter("bare").select("a", "b").union(found.filter("bare").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    bare = bare.join(posts.withColumnRenamed("class_key", "a"), "a").filter(~F.col("_has")).drop("_has")
-    bare = bare.join(posts.withColumnRenamed("class_key", "b"), "b")
-    homed = bare.join(sure.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("_home", F.coalesce("component", "b"))
+    bare = salted_lookup(bare, "a", posts.select(F.col("class_key").alias("_k"), "_has"), "_k").filter(~F.col("_has")).select("a", "b")
+    bare = salted_lookup(bare, "b", posts.select(F.col("class_key").alias("_k"), "_has"), "_k").select("a", "b", "_has")
+    homed = salted_lookup(bare, "b", sure.select(F.col("node").alias("_k"), "component"), "_k").select("a", "b", "_has", F.coalesce("component", "b").alias("_home"))
     single = homed.filter("_has").groupBy("a").agg(F.countDistinct("_home").alias("_n"), F.min("_home").alias("_to")).filter("_n = 1").select("a", F.col("_to").alias("b"))
     among = homed.filter(~F.col("_has")).join(homed.filter("_has").select("a").distinct(), "a", "left_anti").select("a", "b")
-    both = found.filter(~F.col("bare")).select("a", "b").union(single).union(among)
+    both = scratch.keep(found.filter(~F.col("bare")).select("a", "b").union(single).union(among), "both")
     final = components(both, scratch, "final")
-    return read_.join(final, read_["class_key"] == final["node"], "left").select(F.col("raw").alias("name"), F.coalesce("component", "class_key").alias("name_class"))
+    ends = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    degree = ends.select(F.col("a").alias("_d")).union(ends.select("b")).groupBy("_d").agg(F.count("*").cast("int").alias("links"))
+    facts = final.join(degree, F.col("node") == F.col("_d"), "left").select("node", "component", "links")
+    return salted_lookup(own, "class_key", facts, "node").select(F.col("raw").alias("name"), F.coalesce("component", "class_key").alias("name_class"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -89,9 +89,8 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    a = p5_links(spark, d)
-    b = a.select(F.col("name").alias("name_b"), F.col("name_class").alias("_c"))
-    return a.join(b, F.col("name_class") == F.col("_c")).filter("name < name_b").select(F.col("name").alias("name_a"), "name_b")
+    pairs = spanning.pairs_within(p5_links(spark, d), "name", "name_class")
+    return pairs.select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:

@@ -319,6 +319,27 @@ def test_names(spark):
     assert names.link_names(spark.createDataFrame([], "name string")).count() == 0
 
 
+def test_blocks_of_hot_segments_lose_nothing(spark):
+    rows = [(f"{g} Rao, {p}",) for g in ("Anil", "Amar", "Arun", "A", "Asha", "Bela") for p in ("Joint Registrar", "Jt. Registrar", "Supdt.")] + [("Board of Health Camps, Northtown",), ("Health Camps Board (Northtown)",)]
+    read_ = names.readings(spark.createDataFrame(rows, "name string"))
+    one, many = ({tuple(r) for r in names.candidate_pairs(read_, Scratch(spark, "t"), block).collect()} for block in (2000, 2))
+    assert one == many and len(one) > len(rows)
+
+
+def test_links_count_readings(spark):
+    rows = [("Ministry of River Transport",), ("River Transport Ministry",), ("Ministry of Rivver Transport",), ("MoRT",), ("Board of Health Camps, Northtown",)]
+    got = {r["name"]: (r["name_class"], r["links"]) for r in names.link_names(spark.createDataFrame(rows, "name string")).collect()}
+    assert len({c for n, (c, _) in got.items() if "Board" not in n}) == 1
+    assert got["Ministry of River Transport"][1] == got["River Transport Ministry"][1] == 2 and got["Board of Health Camps, Northtown"][1] == 0
+
+
+def test_without_word_lists(spark):
+    """The lists only normalise: misspelt and reordered names are linked without them, short forms of words are not."""
+    rows = [("Board of Health Camps, Choshabaruwadi",), ("Boord of Health Camps - Choshabaruwadi",), ("The Board of Health Camps at Choshabaruwadi",), ("Council of Hill Roads, Yimedikawadi",)]
+    got = {r["name"]: r["name_class"] for r in names.link_names(spark.createDataFrame(rows, "name string"), lists=names.NO_LISTS).collect()}
+    assert len({got[n] for (n,) in rows[:3]}) == 1 and len(set(got.values())) == 2
+
+
 def test_offices_with_misspelt_place_and_subject(spark):
     """Every pair of placed offices that same() accepts is a candidate: the place and the subject may be misspelt at once."""
     pairs = [
