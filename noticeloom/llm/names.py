@@ -219,32 +219,32 @@ def signatures(r: dict) -> list[Signature]:
     return [x for x in out if x.text]
 
 
-def index_keys(r: dict) -> set[str]:
-    """The segments under which a name stands in the index."""
+def index_keys(r: dict) -> set[tuple[str, str, int]]:
+    """(segment, text, edits) under which a name stands in the index; the segment names its block, text length and number."""
     out = set()
     for sig in signatures(r):
         n = len(sig.text)
         for k in {sig.within(m) for m in range(max(1, n - sig.k), n + sig.k + 1)}:
-            out |= {f"{sig.block}\x1f{k}\x1f{n}\x1f{i}\x1f{seg}" for i, _, seg in segments(sig.text, k)}
+            out |= {(f"{sig.block}\x1f{k}\x1f{n}\x1f{i}\x1f{seg}", sig.text, k) for i, _, seg in segments(sig.text, k)}
     return out
 
 
-def probe_keys(r: dict) -> set[str]:
-    """The segments under which names near to this one stand."""
+def probe_keys(r: dict) -> set[tuple[str, str, int]]:
+    """(segment, text, edits) under which names near to this one stand."""
     out = set()
     for sig in signatures(r):
-        block = sig.block
-        if block.startswith("p:"):
-            # without a post: all under the star; with one: its own post and none
-            if block.endswith(":*") != (r["post"] == ""):
-                blocks = [block[:-1]] if r["post"] else []
-            else:
-                blocks = [block]
-        else:
-            blocks = [block]
+        block: str | None = sig.block
+        if r["kind"] == "officer" and sig.block.startswith("p:"):
+            # with a post: those of the same post, and those without one; without a post: all, who stand under the star
+            star = sig.block.endswith(":*")
+            if r["post"]:
+                block = sig.block[:-1] if star else sig.block
+            elif not star:
+                block = None
+        if block is None:
+            continue
         for k in {sig.small, sig.k}:
-            found = {(n, i, x) for n, i, x in probes(sig.text, k) if sig.within(n) == k}
-            out |= {f"{b}\x1f{k}\x1f{n}\x1f{i}\x1f{x}" for b in blocks for n, i, x in found}
+            out |= {(f"{block}\x1f{k}\x1f{n}\x1f{i}\x1f{x}", sig.text, k) for n, i, x in probes(sig.text, k) if sig.within(n) == k}
     return out
 
 
@@ -346,29 +346,33 @@ def readings(values: DataFrame, column: str = "name", lists: Lists = LISTS) -> D
 
 
 def candidate_pairs(names: DataFrame, scratch: Scratch, block: int = 2000) -> DataFrame:
-    """(raw, own, class_key): every name (raw, of the reading ``own``) with the readings whose indexed name has a segment in
-    common with it, at a fitting position. names: READING."""
+    """(rid, cid): names and readings, by the hashes of raw value and class_key, that have a segment in common at a fitting
+    position and whose texts are within the edits allowed. names: READING with rid and cid."""
 
     def keys(batches: Iterator[pd.DataFrame], make, column: str) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(r[column], r["class_key"], x) for r in pdf.to_dict("records") for x in make(r)]
-            yield pd.DataFrame(rows, columns=["who", "class_key", "segment"])
-
-    kind = "who string, class_key string, segment string"
-    one = names.groupBy("class_key").agg(F.min_by(F.struct(*_PARTS), "raw").alias("_p")).select("class_key", "_p.*")
-    held = scratch.keep(one.mapInPandas(lambda b: keys(b, index_keys, "class_key"), kind).select("class_key", "segment"), "index")
-    asked = scratch.keep(names.mapInPandas(lambda b: keys(b, probe_keys, "raw"), kind).select(F.col("who").alias("raw"), F.col("class_key").alias("own"), "segment"), "probes")
-    # hot segments: blocks of names on both sides; what is asked for and not held drops out here, too
+            rows = [(r[column], *x) for r in pdf.to_dict("records") for x in make(r)]
+            yield pd.DataFrame(rows, columns=["id", "segment", "text", "k"])
+
+    kind = "id long, segment string, text string, k int"
+    short = lambda df, to: df.select(F.col("id").alias(to), F.xxhash64("segment").alias("segment"), F.col("text").alias(f"t_{to}"), "k")
+    one = names.groupBy("cid", "class_key").agg(F.min_by(F.struct(*_PARTS), "raw").alias("_p")).select("cid", "_p.*")
+    held = scratch.keep(short(one.mapInPandas(lambda b: keys(b, index_keys, "cid"), kind), "cid").drop("k"), "index")
+    asked = scratch.keep(short(names.select("rid", *_PARTS).mapInPandas(lambda b: keys(b, probe_keys, "rid"), kind), "rid"), "probes")
+    # hot segments: blocks of names on both sides; what is asked for and not held has no counterpart
     n_held = held.groupBy(F.col("segment").alias("_s")).agg(F.count("*").alias("_h"))
     n_asked = asked.groupBy(F.col("segment").alias("_t")).agg(F.count("*").alias("_a"))
     many = n_held.join(n_asked, F.col("_s") == F.col("_t")).filter((F.col("_h") > block) | (F.col("_a") > block))
     hot = scratch.keep(many.select("_s", F.ceil(F.col("_h") / block).cast("int").alias("_ph"), F.ceil(F.col("_a") / block).cast("int").alias("_pa")), "hot")
-    parts = lambda c: F.coalesce(F.col(c), F.lit(1))
-    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
-    left = salted_lookup(held, "segment", hot.withColumnRenamed("_s", "_k"), "_k").select("class_key", "segment", F.pmod(F.xxhash64("class_key"), parts("_ph")).cast("int").alias("_bh"), every("_pa").alias("_ba"))
-    right = salted_lookup(asked, "segment", hot.withColumnRenamed("_s", "_k"), "_k").select("raw", "own", "segment", F.pmod(F.xxhash64("raw"), parts("_pa")).cast("int").alias("_ba"), every("_ph").alias("_bh"))
-    # compresses too well for its size to tell: never broadcast
-    return left.join(right.hint("merge"), ["segment", "_bh", "_ba"]).select("raw", "own", "class_key").distinct()
+    if not hot.isEmpty():
+        parts = lambda c: F.coalesce(F.col(c), F.lit(1))
+        every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+        held = salted_lookup(held, "segment", hot, "_s").select("cid", "t_cid", "segment", F.pmod(F.xxhash64("cid"), parts("_ph")).cast("int").alias("_bh"), every("_pa").alias("_ba"))
+        asked = salted_lookup(asked, "segment", hot, "_s").select("rid", "t_rid", "k", "segment", F.pmod(F.xxhash64("rid"), parts("_pa")).cast("int").alias("_ba"), every("_ph").alias("_bh"))
+    keys_ = [c for c in ("segment", "_bh", "_ba") if c in held.columns]
+    # compresses too well for its size to tell: never broadcast. Texts too far apart go before anything is shuffled again
+    met = held.join(asked.hint("merge"), keys_).filter(F.expr("levenshtein(t_cid, t_rid, k) >= 0"))
+    return met.select("rid", "cid").distinct()
 
 
 def _whole(r: dict) -> bool:
@@ -379,9 +383,9 @@ def _whole(r: dict) -> bool:
 def links(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """(raw, a, b, bare): the candidates whose readings a and b name the same; a is the reading of raw, b may be the same one."""
     parts = F.struct(*_PARTS)
-    classes = names.groupBy("class_key").agg(F.min_by(parts, "raw").alias("rb")).withColumnRenamed("class_key", "_k")
-    mine = classes.select(F.col("_k").alias("_own"), F.col("rb").alias("ra"))
-    sides = salted_lookup(salted_lookup(candidates, "class_key", classes, "_k"), "own", mine, "_own")
+    classes = names.groupBy("cid", "class_key").agg(F.min_by(parts, "raw").alias("rb")).withColumnRenamed("cid", "_k")
+    mine = names.select(F.col("rid").alias("_r"), "raw", F.col("class_key").alias("own"), parts.alias("ra"))
+    sides = salted_lookup(salted_lookup(candidates, "cid", classes, "_k"), "rid", mine, "_r")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -405,7 +409,7 @@ def link_names(values: DataFrame, column: str = "name", lists: Lists = LISTS) ->
     several that are told apart by their posts or names fit it alike.
     """
     scratch = Scratch(values.sparkSession, "names")
-    read_ = scratch.keep(readings(values, column, lists), "readings")
+    read_ = scratch.keep(readings(values, column, lists).withColumns({"rid": F.xxhash64("raw"), "cid": F.xxhash64("class_key")}), "readings")
     every = scratch.keep(links(read_, candidate_pairs(read_, scratch)), "links")
     own = every.filter("a = b").select("raw", F.col("a").alias("class_key"))
     found = scratch.keep(every.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bare").distinct(), "found")

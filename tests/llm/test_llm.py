@@ -321,7 +321,7 @@ def test_names(spark):
 
 def test_blocks_of_hot_segments_lose_nothing(spark):
     rows = [(f"{g} Rao, {p}",) for g in ("Anil", "Amar", "Arun", "A", "Asha", "Bela") for p in ("Joint Registrar", "Jt. Registrar", "Supdt.")] + [("Board of Health Camps, Northtown",), ("Health Camps Board (Northtown)",)]
-    read_ = names.readings(spark.createDataFrame(rows, "name string"))
+    read_ = names.readings(spark.createDataFrame(rows, "name string")).withColumns({"rid": F.xxhash64("raw"), "cid": F.xxhash64("class_key")})
     one, many = ({tuple(r) for r in names.candidate_pairs(read_, Scratch(spark, "t"), block).collect()} for block in (2000, 2))
     assert one == many and len(one) > len(rows)
 
