@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \n\r\t\f\u000b"
 # fixed values: code points that cleaning replaces, and by what
-REPLACED = " ‘’“”–—−"
+REPLACED = "\u00a0\u2018\u2019\u201c\u201d\u2013\u2014\u2010"
 REPLACING = " ''\"\"---"
-REMOVED = "​‌‍­"
+REMOVED = "\u200b\u200c\u200d\u00ad"
+# all blanks but the line feed, as a class of a regular expression
+INNER_BLANKS = r"[\t\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ALL_BLANKS = INNER_BLANKS[:-1] + r"\n]"
 
 
 def strip(c: Column) -> Column:
@@ -51,11 +54,11 @@ def remove_page_artifacts(c: Column) -> Column:
 
 
 def normalise_whitespace(c: Column) -> Column:
-    """Lines stripped, inner blanks single, at most one blank line in a row, the whole stripped."""
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r" ?\n ?", "\n")
-    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    """Lines end at line feeds only. Lines stripped of all blanks, inner spaces and tabs single, at most one blank line in a
+    row, the whole stripped."""
+    c = F.regexp_replace(c, rf"{INNER_BLANKS}*\n{INNER_BLANKS}*", "\n")
+    c = F.regexp_replace(c, rf"^{ALL_BLANKS}+|{ALL_BLANKS}+$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")
 
 
 def clean(c: Column) -> Column:
@@ -77,6 +80,13 @@ def capitalise(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
 
 
+def each(df: DataFrame, keep: list[str], array: Column, name: str, index: str | None = None) -> DataFrame:
+    """One row per element of the array, with the kept columns. An inner explode lets Spark infer a filter on the array and copy
+    the expression that makes it, however dear, into that filter; so this explodes outer and drops the nulls behind it."""
+    made = F.posexplode_outer(array).alias(index, name) if index else F.explode_outer(array).alias(name)
+    return df.select(*keep, made).filter(F.col(name).isNotNull())
+
+
 def find_all(text: str, pattern: str, block: int = 32) -> Column:
     """array<struct<start,end,value>> of all matches of a pattern without empty matches, in the column named ``text``.
 
@@ -97,17 +107,17 @@ def find_all(text: str, pattern: str, block: int = 32) -> Column:
     )
 
 
-def first_capture(text: str, before: str, group: str, flags: str = "", needs: list[str] | None = None) -> Column:
+def first_capture(text: str, before: str, group: str, flags: str = "", needs: list[str] | None = None, needs_in: str | None = None) -> Column:
     """struct<start,end,value> of the first place where ``before`` is followed by ``group``; null if nowhere.
 
     One pass over the text: the whole match is taken out, its place is that of its first occurrence as a string (an earlier
     occurrence would have matched itself), and the group is the match's end. ``needs``: strings one of which every match
-    holds; texts without them are not searched.
+    holds; texts without them are not searched. ``needs_in``: the column to look in instead of ``text``.
     """
     whole = f"regexp_extract({text}, {_q(f'{flags}(?:{before})(?:{group})')}, 0)"
     part = f"regexp_extract(w, {_q(f'{flags}^(?:{before})({group})')}, 1)" if before else "w"
     if needs:
-        guard = " or ".join(f"contains({text}, '{n}')" for n in needs)
+        guard = " or ".join(f"contains({needs_in or text}, '{n}')" for n in needs)
         whole = f"case when {guard} then {whole} else '' end"
     return F.expr(
         f"""transform(array({whole}), w -> case when w <> '' then

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any
+from ..functions.text import contains_any, strip
 
 PAGE = ["document_id", "page_number"]
+# fixed values: words of signatures; characters that are ordinary
 SIGNATURE = ["signature", "signed", "authorized", "signatory", "director", "commissioner", "officer", "secretary", "sd/-", "(sd/-)", "for and on behalf", "name:", "designation:", "seal"]
 ORDINARY = r"""[a-zA-Z0-9\s.,;:!?@#$%&*()\-/'"\x{0900}-\x{097F}]"""
 
@@ -44,12 +45,12 @@ def page_quality(words: DataFrame, area: str | None = None, keys: list[str] = PA
 
 def document_quality(pages: DataFrame) -> DataFrame:
     """Per document the mean of its pages' scores weighted by words, the language of most words, whether pages of more than
-    ten words have several, and the counts of good and poor pages."""
-    by_lang = pages.groupBy("document_id", "language_detected").agg(F.sum("word_count").alias("_w"), F.sum(F.col("ocr_quality_score") * F.col("word_count")).alias("_q"), F.count("*").alias("_p"), F.count_if(F.col("quality_label") == "GOOD").alias("_good"), F.count_if(F.col("quality_label").isin("POOR", "VERY_POOR")).alias("_poor"), F.max(F.col("word_count") > 10).alias("_big"))
+    ten words have several, which (the main one if none), and the counts of pages that are good or moderate, and poor."""
+    by_lang = pages.groupBy("document_id", "language_detected").agg(F.sum("word_count").alias("_w"), F.sum(F.col("ocr_quality_score") * F.col("word_count")).alias("_q"), F.count("*").alias("_p"), F.count_if(F.col("quality_label").isin("GOOD", "MODERATE")).alias("_good"), F.count_if(F.col("quality_label").isin("POOR", "VERY_POOR")).alias("_poor"), F.max(F.col("word_count") > 10).alias("_big"))
     top = F.max(F.struct("_w", F.col("language_detected").alias("l")))
     several = F.count_if(F.col("_big") & (F.col("language_detected") != "unknown")) > 1
-    g = by_lang.groupBy("document_id").agg(F.round(F.sum("_q") / F.sum("_w") + 1e-9, 4).alias("quality"), top.alias("_t"), several.alias("bilingual"), F.sum("_p").alias("pages"), F.sum("_good").alias("good_pages"), F.sum("_poor").alias("poor_pages"), F.sum("_w").alias("words"))
-    return g.select("document_id", "quality", F.when(F.col("words") > 0, quality_label(F.col("quality"))).otherwise("NO_TEXT").alias("label"), F.col("_t.l").alias("language"), "bilingual", "pages", "good_pages", "poor_pages", "words")
+    g = by_lang.groupBy("document_id").agg(F.round(F.sum("_q") / F.sum("_w") + 1e-9, 4).alias("quality"), top.alias("_t"), several.alias("bilingual"), F.sort_array(F.collect_set(F.when(F.col("_big") & (F.col("language_detected") != "unknown"), F.col("language_detected")))).alias("_langs"), F.sum("_p").alias("pages"), F.sum("_good").alias("good_pages"), F.sum("_poor").alias("poor_pages"), F.sum("_w").alias("words"))
+    return g.select("document_id", "quality", F.when(F.col("words") > 0, quality_label(F.col("quality"))).otherwise("NO_TEXT").alias("label"), F.col("_t.l").alias("language"), "bilingual", F.when(F.size("_langs") > 0, F.col("_langs")).otherwise(F.array("_t.l")).alias("languages"), "pages", "good_pages", "poor_pages", "words")
 
 
 def lines(words: DataFrame, tolerance: float = 15.0, keys: list[str] = PAGE) -> DataFrame:
@@ -82,11 +83,64 @@ def paragraphs(lines_: DataFrame, factor: float = 2.0, keys: list[str] = PAGE) -
 
 
 def signature(zoned: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """(keys, signature): lines with a signing word among the footer and the last three body lines, in order."""
+    """(keys, detected, signature): per page the lines with a signing word, those of the footer first, then those among the last
+    three of the body; each in order."""
     last = F.row_number().over(Window.partitionBy(*keys, "zone").orderBy(F.desc("line_no")))
-    near = zoned.withColumn("_r", last).filter(((F.col("zone") == "footer") | ((F.col("zone") == "body") & (F.col("_r") <= 3))) & contains_any(F.lower("text"), SIGNATURE))
-    held = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    return near.groupBy(*keys).agg(F.array_join(F.transform(held, lambda x: x["text"]), "\n").alias("signature"))
+    footer = F.col("zone") == "footer"
+    signs = (footer | ((F.col("zone") == "body") & (F.col("_r") <= 3))) & contains_any(F.lower("text"), SIGNATURE)
+    held = F.array_sort(F.collect_list(F.when(signs, F.struct((~footer).alias("b"), "line_no", "text"))))
+    out = zoned.withColumn("_r", last).groupBy(*keys).agg(held.alias("_h"))
+    return out.select(*keys, (F.size("_h") > 0).alias("detected"), F.array_join(F.transform("_h", lambda x: x["text"]), "\n").alias("signature"))
+
+
+def full_text(zones_: DataFrame, paragraphs_: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """(keys, full_text): header, the body's paragraphs and footer of every page, what is empty left out. zones_: zone_text();
+    paragraphs_: paragraphs() of the body's lines."""
+    body = paragraphs_.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_no", "text"))), lambda x: x["text"]), "\n\n").alias("_body"))
+    parts = F.filter(F.array("header", "_body", "footer"), lambda x: x.isNotNull() & (x != ""))
+    return zones_.join(body, keys, "left").select(*keys, F.array_join(parts, "\n\n").alias("full_text"))
+
+
+def box_of(quad: Column) -> Column:
+    """struct<x1,y1,x2,y2>: the upright box round a polygon given as array<array<double>> of x and y."""
+    xs, ys = F.transform(quad, lambda p: p[0]), F.transform(quad, lambda p: p[1])
+    return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+
+
+def words_of_polygons(found: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """Words of an engine that gives polygons: upright boxes of whole numbers, confidences to four places.
+    found: (keys, ord, text, confidence, quad)."""
+    whole = [F.col(f"_b.{c}").cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return found.withColumn("_b", box_of(F.col("quad"))).select(*keys, "ord", F.col("ord").alias("line_num"), "text", F.round("confidence", 4).alias("confidence"), *whole)
+
+
+def words_of_percent(found: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """Words of an engine that gives percentages: blank ones and those below 0 are no words, the rest are clamped to 0 to 1.
+    found: (keys, ord, line_num, text, confidence, left, top, width, height); ``ord`` counts all entries."""
+    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") / 100.0))
+    box = [F.col("left").alias("x1"), F.col("top").alias("y1"), (F.col("left") + F.col("width")).alias("x2"), (F.col("top") + F.col("height")).alias("y2")]
+    return found.filter((strip(F.col("text")) != "") & (F.col("confidence") >= 0)).select(*keys, "ord", "line_num", strip(F.col("text")).alias("text"), F.round(conf, 4).alias("confidence"), *box)
+
+
+def text_of_lines(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """(keys, text, confidence, word_count): words joined by blanks; a new line where the line number changes or an entry was no
+    word. The confidence is the words' mean. A page is one row."""
+    held = F.array_sort(F.collect_list(F.struct("ord", "line_num", "text")))
+    g = words.groupBy(*keys).agg(held.alias("_w"), F.round(F.avg("confidence"), 4).alias("confidence"), F.count("*").alias("word_count"))
+    goes_on = lambda x, y: (x["line_num"] == y["line_num"]) & (x["ord"] == y["ord"] + 1)
+    glue = F.transform("_w", lambda x, i: F.concat(F.when(i == 0, "").when(goes_on(x, F.get("_w", i - 1)), " ").otherwise("\n"), x["text"]))
+    return g.select(*keys, F.array_join(glue, "").alias("text"), "confidence", "word_count")
+
+
+# fixed values: the quality of a page whose text needs no recognition
+TEXT_PAGE = {"avg_confidence": 0.99, "token_validity_ratio": 0.95, "abnormal_char_ratio": 0.0, "language_detected": "en", "language_confidence": 0.9, "ocr_quality_score": 0.95, "quality_label": "GOOD"}
+
+
+def text_page_quality(text: Column) -> Column:
+    """The quality of such a page as a struct: constants, the number of words, and a density by the text's length."""
+    density = F.least(F.lit(1.0), F.coalesce(F.length(text), F.lit(0)) / 3000)
+    count = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
+    return F.struct(*[F.lit(v).alias(k) for k, v in TEXT_PAGE.items()], density.alias("text_density"), count.alias("word_count"))
 
 
 def zone_text(zoned: DataFrame, keys: list[str] = PAGE) -> DataFrame:

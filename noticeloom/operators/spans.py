@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grouped import first_by
-from ..functions.text import contains_any, find_all, first_capture, lines, rfind, strip
+from ..functions.text import contains_any, each, find_all, first_capture, lines, rfind, strip
 
 FIELDS = ["title", "authority", "date", "contact", "audience", "eligibility", "document", "notice_number"]
 # fixed values: words of titles; patterns of authorities, in order of precedence, and what each must hold
@@ -27,7 +27,15 @@ CAPTURES = {
     "document": (r"(?:Required documents|Documents required|Enclosures|Attachments|Proof required)[:\s]+", r"[^\n.;]+"),
     "notice_number": (r"(?:DIN|REF|NOTICE\s*NO|MEMO\s*NO|F\.?\s*NO|NO\.)[:\s.-]+", r"[A-Z0-9/-]{5,}"),
 }
+# strings of which every match holds one, in small letters; texts without them are not searched
+CAPTURE_NEEDS = {
+    "audience": ["eligible persons", "intended audience", "applies to", "to all", "all registered", "target audience", "for the attention of"],
+    "eligibility": ["eligib", "qualification", "who can apply", "prerequisites"],
+    "document": ["required documents", "documents required", "enclosures", "attachments", "proof required"],
+    "notice_number": ["din", "ref", "notice", "memo", "f", "no."],
+}
 SCORES = {"audience": 0.85, "eligibility": 0.85, "document": 0.85, "notice_number": 0.90}
+# fixed values: spans that are noise; least confidences by field
 NOISE = [")", "(", "OF", "AND", "TO", "A", "THE", "IN", "IS"]
 THRESHOLDS = {"title": 0.75, "authority": 0.80, "date": 0.80, "contact": 0.70, "audience": 0.70, "eligibility": 0.75, "document": 0.75, "notice_number": 0.75}
 # fixed values: weights of the signals (model, ocr, evidence, consistency) by field
@@ -36,6 +44,7 @@ WEIGHTS = {
     "eligibility": (0.50, 0.20, 0.20, 0.10), "audience": (0.50, 0.20, 0.20, 0.10), "document": (0.50, 0.20, 0.20, 0.10),
 }
 DEFAULT_WEIGHTS = (0.45, 0.25, 0.20, 0.10)
+# fixed values: words of authorities, and what stands before those who get copies
 AUTHORITY_WORDS = ["ministry", "department", "board", "commission", "authority", "council", "office", "directorate", "government", "bureau", "cbic", "cbdt", "fssai", "mca", "epfo", "roc", "university", "institute", "controller", "registrar", "मंत्रालय", "विभाग", "कार्यालय", "सरकार"]
 COPY_TO = ["copy to", "copies to", "copy forwarded to", "endorsed to", "for information", "प्रतिलिपि", "की प्रति"]
 
@@ -44,21 +53,34 @@ def _span(field: str, score: Column, start: Column, end: Column, text: str = "_t
     return F.struct(F.lit(field).alias("field"), score.cast("double").alias("score"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.col(text).substr(start + 1, end - start).alias("value"))
 
 
-def find_spans(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    """(key, field, score, start, end, value): one row per span; dates may be several. Row-wise, no shuffle."""
-    base = df.select(F.col(key).alias("_key"), F.col(text).alias("_t")).filter(F.length(strip(F.col(text))) > 0)
-    base = base.withColumns({"_lines": lines(F.col("_t")), "_up": F.upper("_t")})
-    marked = F.filter("_lines", lambda x: contains_any(F.upper(x), TITLE_WORDS))
+def _fast(pattern: str) -> str:
+    """A run of capitals can only begin where none ends before it: so each run is tried once, not from each of its letters."""
+    return r"(?<![A-Z\s&])" + pattern if pattern.startswith("[A-Z") else pattern
+
+
+def _grounded(span: Column, text: Column) -> Column:
+    """The span with the bounds of the sentence round it."""
+    a, b = sentence_before(text, span["start"]), span["end"] + sentence_rest(text, span["end"])
+    return F.struct(*[span[c].alias(c) for c in ("field", "score", "start", "end", "value")], a.cast("int").alias("sentence_start"), b.cast("int").alias("sentence_end"), strip(text.substr(a + 1, b - a)).alias("evidence"))
+
+
+def _found(df: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
+    """(_key, kept columns, _t, _every): all spans of a text as one array."""
+    base = df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), *keep).filter(F.length(strip(F.col(text))) > 0)
+    base = base.withColumns({"_lines": lines(F.col("_t")), "_up": F.upper("_t"), "_low": F.lower("_t")})
+    marked = F.filter(F.transform("_lines", lambda x: F.struct(x.alias("l"), F.upper(x).alias("u"))), lambda x: contains_any(x["u"], TITLE_WORDS))
     first, second = F.try_element_at("_lines", F.lit(1)), F.try_element_at("_lines", F.lit(2))
     fallback = F.when((F.size("_lines") > 1) & (F.length(first) <= 10), second).otherwise(first)
-    base = base.withColumns({"_marked": F.try_element_at(marked, F.lit(1)), "_title": F.coalesce(F.try_element_at(marked, F.lit(1)), fallback)})
+    base = base.withColumns({"_marked": F.when(contains_any(F.col("_up"), TITLE_WORDS), F.try_element_at(marked, F.lit(1))["l"])})
+    base = base.withColumns({"_title": F.coalesce("_marked", fallback)})
     at = F.expr("locate(_title, _t)") - 1
     title = _span("title", F.when(F.col("_marked").isNotNull(), 0.90).otherwise(0.75), at, at + F.length("_title"))
     auth = None
     for p, needed in zip(AUTHORITIES, AUTHORITY_NEEDS):
-        hit = first_capture("_up", "", p, needs=[needed])
+        hit = first_capture("_up", "", _fast(p), needs=[needed])
         auth = hit if auth is None else F.coalesce(auth, hit)
-    base = base.withColumns({"_auth": auth, "_dates": find_all("_t", DATE), "_contact": first_capture("_t", "", CONTACT), **{f"_{f}": first_capture("_t", *p, flags="(?i)") for f, p in CAPTURES.items()}})
+    captures = {f"_{f}": first_capture("_t", *p, flags="(?i)", needs=CAPTURE_NEEDS[f], needs_in="_low") for f, p in CAPTURES.items()}
+    base = base.withColumns({"_auth": auth, "_dates": find_all("_t", DATE), "_contact": first_capture("_t", "", CONTACT), **captures})
     a0 = F.col("_auth.start")
     authority = F.when(F.col("_auth").isNotNull(), _span("authority", F.lit(0.88), a0, a0 + F.length(strip(F.col("_t").substr(a0 + 1, F.col("_auth.end") - a0)))))
     parts = [F.when(at >= 0, title), authority]
@@ -66,7 +88,37 @@ def find_spans(df: DataFrame, key: str = "document_id", text: str = "text") -> D
     for f in CAPTURES:
         parts.append(F.when(F.col(f"_{f}").isNotNull(), _span(f, F.lit(SCORES[f]), F.col(f"_{f}.start"), F.col(f"_{f}.end"))))
     every = F.concat(F.array_compact(F.array(*parts)), F.transform("_dates", lambda d: _span("date", F.lit(0.92), d["start"], d["end"])))
-    return base.select("_key", F.explode(every).alias("_s")).select(F.col("_key").alias(key), "_s.*")
+    return base.select("_key", *keep, "_t", every.alias("_every"))
+
+
+def find_spans(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
+    """(key, field, score, start, end, value): one row per span; dates may be several. Row-wise, no shuffle."""
+    return each(_found(df, key, text, []), ["_key"], F.col("_every"), "_s").select(F.col("_key").alias(key), "_s.*")
+
+
+def _quiet(x: Column) -> Column:
+    return (F.length(strip(x["value"])) >= 3) & ~strip(x["value"]).isin(NOISE)
+
+
+def best_array(every: Column) -> Column:
+    """Of an array of spans one per field: the highest score, of equal ones the first in text order."""
+    ranked = lambda f: F.array_min(F.transform(F.filter(every, lambda x: x["field"] == f), lambda x: F.struct((-x["score"]).alias("r"), x["start"].alias("start"), x["end"].alias("end"), x.alias("x"))))["x"]
+    return F.array_compact(F.array(*[ranked(f) for f in FIELDS]))
+
+
+def spans_of(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
+    """(key, text, spans): the best span per field as one array of a row."""
+    return _found(df, key, text, []).select(F.col("_key").alias(key), F.col("_t").alias(text), best_array(F.col("_every")).alias("spans"))
+
+
+def find_best(df: DataFrame, key: str = "document_id", text: str = "text", noise: bool = True, evidence: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """(key, kept columns, field, score, start, end, value and with ``evidence`` sentence_start, sentence_end, evidence): the best
+    span per field, with ``noise`` False after drop_noise. As best_spans of find_spans, but within the row: no shuffle."""
+    found = _found(df, key, text, keep or [])
+    best = best_array(F.col("_every") if noise else F.filter("_every", _quiet))
+    if evidence:
+        best = F.transform(best, lambda x: _grounded(x, F.col("_t")))
+    return each(found, ["_key", *(keep or [])], best, "_s").select(F.col("_key").alias(key), *(keep or []), "_s.*")
 
 
 def drop_noise(spans: DataFrame) -> DataFrame:
@@ -103,6 +155,11 @@ def sentence_before(text: Column, start: Column) -> Column:
     return F.length(F.regexp_extract(text.substr(F.lit(1), start), r"(?s)^(.*[.\n?!]\s+)", 1))
 
 
+def sentence_rest(text: Column, end: Column) -> Column:
+    """How much of the sentence stands behind ``end``, its stop included."""
+    return F.length(F.regexp_extract(text.substr(end + 1, F.length(text)), r"(?s)^([^.\n?!]*[.\n?!]?)", 1))
+
+
 def evidence(spans: DataFrame, docs: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
     """Adds evidence (the sentence around the span), sentence_start, sentence_end and span_status (VALID_SPAN or
     LOW_CONFIDENCE for offsets outside the text, inverted, or over blanks; those lose their value and confidence)."""
@@ -111,9 +168,7 @@ def evidence(spans: DataFrame, docs: DataFrame, key: str = "document_id", text:
     ok = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_t"))
     body = F.col("_t").substr(F.col("start") + 1, F.col("end") - F.col("start"))
     ok = F.coalesce(ok & (F.length(strip(body)) > 0), F.lit(False))
-    rest = F.expr("substring(_t, end + 1)")
-    tail = F.length(F.regexp_extract(rest, r"(?s)^([^.\n?!]*[.\n?!]?)", 1))
-    a, b = sentence_before(F.col("_t"), F.col("start")), F.col("end") + tail
+    a, b = sentence_before(F.col("_t"), F.col("start")), F.col("end") + sentence_rest(F.col("_t"), F.col("end"))
     return j.select(
         *[F.col(c) for c in spans.columns if c not in ("value", "score")],
         F.when(ok, body).alias("value"), F.when(ok, F.col("score")).otherwise(0.0).alias("score"),
@@ -146,6 +201,19 @@ def ocr_overlap(spans: DataFrame, words: DataFrame, key: str = "document_id") ->
     return hit.groupBy(*[F.col(c) for c in spans.columns]).agg(F.avg("confidence").alias("c_ocr"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("words"))
 
 
+def evidence_box(spans: DataFrame, words: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, field, x1, y1, x2, y2): the box round all words of the span's page whose text stands somewhere in the evidence, in any
+    case; short words match often, so the box may be wide. spans: (key, field, page_number, evidence)."""
+    w = words.select(F.col(key).alias("_k"), F.col("page_number").alias("_p"), F.lower(strip(F.col("text"))).alias("_w"), "x1", "y1", "x2", "y2").filter("_w <> ''")
+    s = spans.select(key, "field", "page_number", F.lower(strip(F.col("evidence"))).alias("_e"))
+    hit = s.join(w, (F.col(key) == F.col("_k")) & (F.col("page_number") == F.col("_p")) & F.contains("_e", "_w"))
+    return hit.groupBy(key, "field").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+
+
+def quality_word(score: Column) -> Column:
+    return F.when(score >= 0.80, "GOOD").when(score >= 0.60, "MODERATE").when(score >= 0.40, "POOR").otherwise("VERY_POOR")
+
+
 def page_of(spans: DataFrame, pages: DataFrame, key: str = "document_id") -> DataFrame:
     """Adds page_number of the page that holds the span's start."""
     p = pages.select(F.col(key).alias("_k"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"), "page_number")
@@ -188,6 +256,7 @@ def abstain(fields: DataFrame) -> DataFrame:
 
 def field_penalty(field: Column, value: Column, text: Column, parsed_year: Column, year_now: int) -> Column:
     """What a field's value costs the document's consistency; 0 if it looks right."""
+    value = strip(value)
     low = F.lower(value)
     odd_contact = ~value.rlike(r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$") & ~value.rlike(r"^\+?[\d\s\-()]{7,15}$") & (F.length(value) < 20) & ~value.rlike(r"\d")
     lead = F.lower(text).substr(F.lit(1), F.greatest(F.position(low, F.lower(text)) - 1, F.lit(0)))
@@ -208,28 +277,45 @@ def field_penalty(field: Column, value: Column, text: Column, parsed_year: Colum
 
 
 def document_consistency(fields: DataFrame, dates: DataFrame, key: str = "document_id") -> DataFrame:
-    """(key, penalties, conflicts, inversions, consistency, consistent): 1 less the fields' penalties, less 0.1 for several
-    calendar dates among the date fields, less 0.2 for each start after an end; to two places, flagged under 0.6.
+    """(key, penalties, conflicts, inversions, consistency, consistent): 1 less the fields' penalties, and, if the date fields
+    name several days: less 0.2 for each pair of a start and an earlier end or deadline, or less 0.1 if there are not both;
+    to two places, not below 0, flagged under 0.6. A date that is given twice counts twice in pairs.
 
-    fields: (key, penalty); dates: (key, type, day). Both are aggregated before they meet.
+    fields: (key, penalty); dates: (key, type, day). Both are aggregated before they meet; a document's days are one row.
     """
     pen = fields.groupBy(F.col(key).alias("_a")).agg(F.sum("penalty").alias("penalties"))
-    days = dates.filter(F.col("day").isNotNull()).select(key, "type", "day").distinct()
-    several = days.groupBy(F.col(key).alias("_b")).agg(F.countDistinct("day").alias("_n"))
-    s = days.filter(F.col("type") == "START_DATE").select(F.col(key).alias("_c"), F.col("day").alias("_s"))
-    e = days.filter(F.col("type").isin("DEADLINE", "END_DATE")).select(F.col(key).alias("_d"), F.col("day").alias("_e"))
-    inv = s.join(e, (F.col("_c") == F.col("_d")) & (F.col("_s") > F.col("_e"))).groupBy("_c").agg(F.count("*").alias("inversions"))
-    j = pen.join(several, F.col("_a") == F.col("_b"), "left").join(inv, F.col("_a") == F.col("_c"), "left")
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("penalties") - 0.1 * F.col("conflicts") - 0.2 * F.col("inversions"))), 2)
-    j = j.select(F.col("_a").alias(key), F.round("penalties", 4).alias("penalties"), F.when(F.col("_n") > 1, 1).otherwise(0).alias("conflicts"), F.coalesce("inversions", F.lit(0)).alias("inversions"))
+    of = lambda *kinds: F.collect_list(F.when(F.col("type").isin(*kinds), F.col("day")))
+    days = dates.filter(F.col("day").isNotNull()).groupBy(F.col(key).alias("_b")).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"), of("START_DATE").alias("_s"), of("DEADLINE", "END_DATE").alias("_e"))
+    late = F.expr("aggregate(_s, 0, (n, x) -> n + size(filter(_e, y -> x > y)))")
+    both = (F.size("_s") > 0) & (F.size("_e") > 0)
+    several = F.coalesce(F.col("_lo") < F.col("_hi"), F.lit(False))
+    j = pen.join(days, F.col("_a") == F.col("_b"), "left")
+    j = j.select(F.col("_a").alias(key), F.round("penalties", 4).alias("penalties"), F.when(several & ~both, 1).otherwise(0).alias("conflicts"), F.when(several & both, late).otherwise(0).alias("inversions"))
+    score = F.greatest(F.lit(0.0), F.round(F.round(1.0 - F.col("penalties") - 0.1 * F.col("conflicts") - 0.2 * F.col("inversions"), 6), 2))
     return j.withColumn("consistency", score).withColumn("consistent", F.col("consistency") >= 0.6)
 
 
+def ocr_warning(quality: Column, label: Column) -> Column:
+    """The warning about a document whose words were recognised badly; null if they were not."""
+    text = F.concat(F.lit("OCR_QUALITY_WARNING: Document OCR quality is "), F.coalesce(label, F.lit("POOR")), F.lit(" (confidence: "), F.format_number(quality, 2), F.lit("). Extraction reliability may be reduced."))
+    return F.when(quality < 0.6, text)
+
+
 def wide(fields: DataFrame, key: str = "document_id") -> DataFrame:
     """One row per document, one column per field."""
     return fields.groupBy(key).pivot("field", FIELDS).agg(F.first("value"))
 
 
+def accepted_mean(fields: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, confidence): the mean confidence of the fields that have a value and are accepted; 0 if none is."""
+    return fields.groupBy(key).agg(F.coalesce(F.round(F.avg(F.when(F.col("decision") == "ACCEPT", F.col("confidence"))), 4), F.lit(0.0)).alias("confidence"))
+
+
+def document_id(text: Column, prefix: str = "TXT-") -> Column:
+    """A repeatable id of a text given without one."""
+    return F.concat(F.lit(prefix), F.upper(F.substring(F.md5(text), 1, 12)))
+
+
 def inbox_items(fields: DataFrame, docs: DataFrame, key: str = "document_id") -> DataFrame:
     """(key, missing): documents in which a field was not found or withheld, with the fields' names in order."""
     have = fields.filter(F.col("decision") == "ACCEPT").groupBy(F.col(key).alias("_k")).agg(F.collect_set("field").alias("_have"))  # at most eight names

@@ -33,6 +33,15 @@ def duplicates(df: DataFrame, subset: list[str]) -> DataFrame:
     return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 
+def footprint(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, and the characters of all values written as text."""
+    chars = [F.coalesce(F.sum(F.length(F.col(c).cast("string"))), F.lit(0)) for f in df.schema.fields for c in [f.name] if f.dataType.typeName() not in ("array", "map", "struct")]
+    total = chars[0] if chars else F.lit(0)
+    for c in chars[1:]:
+        total = total + c
+    return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"), total.alias("characters"))
+
+
 def selective(df: DataFrame, least: float, conf: str = "confidence", correct: str = "is_correct", missing: str = "is_missing_in_ground_truth") -> DataFrame:
     """Coverage, precision (1 if nothing is accepted), abstention, and the share of missing cases that were answered."""
     ok = F.col(conf) >= least
@@ -112,16 +121,30 @@ def fit_temperature(df: DataFrame, logits: str, label: str, low: float = 0.05, h
     return best
 
 
-def conformal_quantile(df: DataFrame, probs: str, label: str, alpha: float = 0.1) -> DataFrame:
-    """(n, q_hat): the quantile min(1, ceil((n+1)(1-alpha))/n) of 1 - p_true, interpolated. Two aggregates: n, then the quantile."""
-    s = df.select((1.0 - F.get(probs, F.col(label))).alias("_s")).filter("_s is not null")
-    n = s.count()
-    if n == 0:
-        return s.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("q_hat"))
+def conformal_quantile(df: DataFrame, probs: str, label: str, alpha: float = 0.1, bins: int = 4096) -> DataFrame:
+    """(n, q_hat): the quantile min(1, ceil((n+1)(1-alpha))/n) of 1 - p_true, interpolated. Exact in two passes: scores are counted by
+    bin, then only the bins that hold the two ranks are sorted; so no task holds all scores."""
     import math
 
-    p = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)
-    return s.agg(F.count("*").alias("n"), F.percentile("_s", F.lit(p)).alias("q_hat"))
+    s = df.select((1.0 - F.get(probs, F.col(label))).alias("_s")).filter("_s is not null")
+    b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col("_s") * bins))).cast("int")
+    counts = sorted((r["_b"], r["_n"]) for r in s.groupBy(b.alias("_b")).agg(F.count("*").alias("_n")).collect())  # at most ``bins`` rows
+    n = sum(c for _, c in counts)
+    spark = df.sparkSession
+    if n == 0:
+        return spark.createDataFrame([(0, None)], "n long, q_hat double")
+    at = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n) * (n - 1)
+    ranks = [math.floor(at), min(math.floor(at) + 1, n - 1)]
+    found = []
+    for rank in ranks:
+        before = 0
+        for k, c in counts:
+            if rank < before + c:
+                rows = s.filter(b == k).orderBy("_s").offset(rank - before).limit(1)
+                found.append(rows.first()[0])
+                break
+            before += c
+    return spark.createDataFrame([(n, found[0] + (found[1] - found[0]) * (at - ranks[0]))], "n long, q_hat double")
 
 
 def prediction_set(probs: Column, q_hat: Column) -> Column:

@@ -55,7 +55,7 @@ def paragraph_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layout_signature(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.signature(_zoned(spark, d)).select("document_id", "page_number", F.md5("signature").alias("digest"))
+    return ocr.signature(_zoned(spark, d)).select("document_id", "page_number", "detected", F.md5("signature").alias("digest"))
 
 
 def layout_zone_text(spark: SparkSession, d: str) -> DataFrame:
@@ -248,17 +248,17 @@ QUERIES = {
     "ocr_page_quality": (ocr_page_quality, f"SELECT document_id, page_number, round(conf + 1e-9, 4) AS avg_confidence, round(valid + 1e-9, 4) AS token_validity_ratio, round(least(1.0, chars / 3000.0) + 1e-9, 4) AS text_density, round(odd::DOUBLE / greatest(1, chars) + 1e-9, 4) AS abnormal_char_ratio, lang AS language_detected, n AS word_count, round(score + 1e-9, 4) AS ocr_quality_score, {_LABEL.format('score')} AS quality_label FROM {_PAGEQ}"),
     "ocr_doc_quality": (ocr_doc_quality, f"""
         WITH p AS (SELECT document_id, lang, n, round(score + 1e-9, 4) AS s, {_LABEL.format('score')} AS label FROM {_PAGEQ}),
-        l AS (SELECT document_id, lang, sum(n) AS w, sum(s * n) AS sq, count(*) AS pages, count(*) FILTER (label = 'GOOD') AS good, count(*) FILTER (label IN ('POOR', 'VERY_POOR')) AS poor, bool_or(n > 10) AS big FROM p GROUP BY 1, 2),
-        g AS (SELECT document_id, round(sum(sq) / sum(w) + 1e-9, 4) AS quality, arg_max(lang, (w, lang)) AS language, count(*) FILTER (big AND lang <> 'unknown') > 1 AS bilingual, sum(pages) AS pages, sum(good) AS good_pages, sum(poor) AS poor_pages, sum(w) AS words FROM l GROUP BY 1)
-        SELECT document_id, quality, {_LABEL.format('quality')} AS label, language, bilingual, pages, good_pages, poor_pages, words FROM g"""),
+        l AS (SELECT document_id, lang, sum(n) AS w, sum(s * n) AS sq, count(*) AS pages, count(*) FILTER (label IN ('GOOD', 'MODERATE')) AS good, count(*) FILTER (label IN ('POOR', 'VERY_POOR')) AS poor, bool_or(n > 10) AS big FROM p GROUP BY 1, 2),
+        g AS (SELECT document_id, round(sum(sq) / sum(w) + 1e-9, 4) AS quality, arg_max(lang, (w, lang)) AS language, count(*) FILTER (big AND lang <> 'unknown') > 1 AS bilingual, coalesce(list_sort(list(lang) FILTER (big AND lang <> 'unknown')), [arg_max(lang, (w, lang))]) AS languages, sum(pages) AS pages, sum(good) AS good_pages, sum(poor) AS poor_pages, sum(w) AS words FROM l GROUP BY 1)
+        SELECT document_id, quality, {_LABEL.format('quality')} AS label, language, bilingual, languages, pages, good_pages, poor_pages, words FROM g"""),
     "layout_lines": (layout_lines, f"SELECT document_id, page_number, line_no, md5(text) AS digest, confidence, x1, y1, x2, y2, word_count FROM {_LINES}"),
     "layout_zones": (layout_zones, f"SELECT zone, count(*) AS lines, sum(word_count) AS words FROM {_ZONED} GROUP BY 1"),
     "paragraph_islands": (paragraph_islands, f"""
         WITH a AS (SELECT *, avg(CASE WHEN y2 > y1 THEN y2 - y1 END) OVER (PARTITION BY document_id, page_number) AS h, lag(y2) OVER (PARTITION BY document_id, page_number ORDER BY line_no) AS p FROM {_LINES}),
         b AS (SELECT *, sum(CASE WHEN y1 - p > coalesce(h, 20) * 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_number ORDER BY line_no) AS paragraph_no FROM a)
         SELECT document_id, page_number, paragraph_no, count(*) AS line_count, min(y1) AS y1, max(y2) AS y2 FROM b GROUP BY 1, 2, 3"""),
-    "layout_signature": (layout_signature, f"""SELECT document_id, page_number, md5(string_agg(text, chr(10) ORDER BY line_no)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_number, zone ORDER BY line_no DESC) AS r FROM {_ZONED})
-        WHERE (zone = 'footer' OR (zone = 'body' AND r <= 3)) AND {any_of('lower(text)', ocr.SIGNATURE)} GROUP BY 1, 2"""),
+    "layout_signature": (layout_signature, f"""SELECT document_id, page_number, count(*) FILTER (sign) > 0 AS detected, md5(coalesce(string_agg(text, chr(10) ORDER BY zone <> 'footer', line_no) FILTER (sign), '')) AS digest
+        FROM (SELECT *, (zone = 'footer' OR (zone = 'body' AND r <= 3)) AND {any_of('lower(text)', ocr.SIGNATURE)} AS sign FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_number, zone ORDER BY line_no DESC) AS r FROM {_ZONED})) GROUP BY 1, 2"""),
     "layout_zone_text": (layout_zone_text, "SELECT document_id, page_number, " + ", ".join(f"coalesce(string_agg(text, chr(10) ORDER BY line_no) FILTER (zone = {q(z)}), '') AS {z}" for z in ("header", "body", "footer")) + f" FROM {_ZONED} GROUP BY 1, 2"),
     "canonical_types": (canonical_types, f"SELECT {_CANON} AS canonical_type, count(*) AS documents FROM (SELECT DISTINCT document_id, document_type FROM annotation_corpus) GROUP BY 1"),
     "quota_sample": (quota_sample, f"SELECT * FROM {_SAMPLE}"),

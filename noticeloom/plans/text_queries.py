@@ -73,13 +73,22 @@ def sentence_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "idx", "n", "score")
 
 
+def _with_dates(spark: SparkSession, d: str) -> DataFrame:
+    each = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.lit(None).cast("int").alias("page_number"))
+    return _distinct_texts(spark, d).withColumn("dates", F.transform(dates.date_array("text"), each))
+
+
 def summary_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = _distinct_texts(spark, d)
-    scored = summarize.score_sentences(summarize.sentences(docs, key="doc_id"), dates.find_dates(docs, key="doc_id"), key="doc_id")
-    s = summarize.summary(scored, key="doc_id")
+    s = summarize.summaries(_with_dates(spark, d), "dates", key="doc_id")
     return s.select("doc_id", "picked", F.md5("summary").alias("digest"), "confidence")
 
 
+def summary_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The picked sentences, dates given by their values only: points for sentences that hold them."""
+    bare = F.transform("dates", lambda x: F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), x["value"].alias("value"), x["page_number"].alias("page_number")))
+    return summarize.summaries(_with_dates(spark, d).withColumn("dates", bare), "dates", key="doc_id", detail=True).select("doc_id", "sentence_index", "start", "end", "entity_score")
+
+
 def date_finditer(spark: SparkSession, d: str) -> DataFrame:
     return dates.find_dates(_distinct_texts(spark, d), key="doc_id").select("doc_id", "start", "end", "value", "pattern")
 
@@ -111,9 +120,10 @@ def _clean_sql(x: str) -> str:
     c = f"translate({x}, {q(T.REPLACED + T.REMOVED)}, {q(T.REPLACING)})"
     c = rf"regexp_replace({c}, '(?i)\bPage\s+\d+(\s+of\s+\d+)?\b', '', 'g')"
     c = rf"regexp_replace({c}, '(?m)^[ \t]*[-—][ \t]*\d+[ \t]*[-—][ \t]*$', '', 'g')"
-    for a, b in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n")):
+    blank = T.INNER_BLANKS
+    for a, b in ((rf"{blank}*\n{blank}*", "\n"), (rf"^{T.ALL_BLANKS}+|{T.ALL_BLANKS}+$", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")):
         c = f"regexp_replace({c}, {q(a)}, {q(b)}, 'g')"
-    return strip(c)
+    return c
 
 
 _QUALITY = r"""CASE WHEN text IS NULL OR length(text) < 10 OR len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) = 0 THEN 0.0 ELSE
@@ -183,6 +193,12 @@ QUERIES = {
         p AS (SELECT * FROM r WHERE r <= CASE WHEN n > 3 AND has THEN 5 ELSE 3 END)
         SELECT doc_id, count(*) AS picked, md5(string_agg(sentence, ' ' ORDER BY idx)) AS digest,
                CASE WHEN any_value(n) <= 3 THEN 0.95 ELSE least(0.98, greatest(0.60, round(round((0.60 + least(0.38, sum(score) / count(*) * 0.05))::DOUBLE, 6), 2))) END AS confidence FROM p GROUP BY 1"""),
+    "summary_sentences": (summary_sentences, f"""
+        WITH s AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM {_SENTENCES}), d AS (SELECT * FROM {_DATES}),
+        h AS (SELECT s.doc_id, s.idx, 2.0 * count(*) AS e FROM s JOIN d ON s.doc_id = d.doc_id AND contains(lower(s.sentence), lower(d.value)) WHERE length(d.value) > 2 GROUP BY ALL),
+        c AS (SELECT *, ({_score_sql('entity')})::DOUBLE AS score FROM (SELECT s.*, coalesce(h.e, 0.0) AS entity FROM s LEFT JOIN h USING (doc_id, idx))),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS r, max(entity) OVER (PARTITION BY doc_id) > 0 AS has FROM c)
+        SELECT doc_id, idx AS sentence_index, "start", "end", round(greatest(0.0, score), 2) AS entity_score FROM r WHERE r <= CASE WHEN n > 3 AND has THEN 5 ELSE 3 END"""),
     "date_finditer": (date_finditer, f"""SELECT doc_id, "start", "end", value, pattern FROM {_DATES}"""),
     "date_context_type": (date_context_type, f"""SELECT doc_id, "start", "end", type, type_confidence FROM ({_types_sql()})"""),
     "date_parse": (date_parse, f"""SELECT doc_id, "start", strftime({_DAY}, '%Y-%m-%d') AS day FROM (SELECT doc_id, "start", {_fold_date('value')} AS v FROM {_DATES})"""),

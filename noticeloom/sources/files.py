@@ -98,8 +98,10 @@ def write_splits(df: DataFrame, path: str, label_map: dict[str, int]) -> None:
 
 
 def write_one(df: DataFrame, path: str) -> None:
-    """A manifest or parameter set of one row, as one file."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A manifest or parameter set of one row, as one file. More rows are an error, not dropped."""
+    if len(df.limit(2).collect()) > 1:
+        raise ValueError("more than one row for a file of one")
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def rewrite(spark: SparkSession, path: str, schema: str, keep) -> None:
@@ -109,11 +111,29 @@ def rewrite(spark: SparkSession, path: str, schema: str, keep) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path
     fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.rename(p(path), p(old))
-    fs.rename(p(new), p(path))
+    if not fs.rename(p(path), p(old)):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(p(new), p(path)):
+        fs.rename(p(old), p(path))
+        raise OSError(f"{new} could not take the place of {path}")
     fs.delete(p(old), True)
 
 
+def read_one(spark: SparkSession, path: str) -> dict:
+    """What write_one wrote."""
+    return spark.read.json(path).first().asDict(recursive=True)
+
+
+def split_sizes(df: DataFrame, column: str = "split") -> DataFrame:
+    """(split, rows)."""
+    return df.groupBy(column).agg(F.count("*").alias("rows"))
+
+
+def read_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """Token sets for training: (input_ids, attention_mask, labels), records without one of them left out."""
+    return spark.read.schema("input_ids array<int>, attention_mask array<int>, labels array<int>").json(path).dropna()
+
+
 def write_documents(df: DataFrame, path: str, key: str = "document_id") -> None:
     """One folder per document; writing a document again replaces its own folder only."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)

@@ -150,7 +150,11 @@ def test_consistency(spark):
     pen = spark.createDataFrame([("d", 0.2), ("d", 0.15)], "document_id string, penalty double")
     day = spark.createDataFrame([("d", "START_DATE", "2026-02-01"), ("d", "DEADLINE", "2026-01-01")], "document_id string, type string, day string")
     r = spans.document_consistency(pen, day).first()
-    assert (r["conflicts"], r["inversions"], r["consistency"], r["consistent"]) == (1, 1, 0.35, False)
+    assert (r["conflicts"], r["inversions"], r["consistency"], r["consistent"]) == (0, 1, 0.45, False)
+    twice = spark.createDataFrame([("d", "START_DATE", "2026-02-01"), ("d", "DEADLINE", "2026-01-01"), ("d", "END_DATE", "2026-01-01"), ("e", "ISSUE_DATE", "2026-01-01"), ("e", "DEADLINE", "2026-02-01"), ("f", "DEADLINE", "2026-02-01")], "document_id string, type string, day string")
+    none = spark.createDataFrame([(k, 0.0) for k in "defg"], "document_id string, penalty double")
+    got = {r["document_id"]: (r["conflicts"], r["inversions"], r["consistency"]) for r in spans.document_consistency(none, twice).collect()}
+    assert got == {"d": (0, 2, 0.6), "e": (1, 0, 0.9), "f": (0, 0, 1.0), "g": (0, 0, 1.0)}
 
 
 def test_merge_and_dates(spark):
