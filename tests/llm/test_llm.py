@@ -285,6 +285,50 @@ def test_of_several_texts_the_greatest_counts(spark):
         assert {tuple(r) for r in near_copies.copy_pairs(m, p).collect()} == {("k", "m")}
 
 
+@pytest.mark.parametrize(("cold", "block"), [(0, 4000), (6, 4000), (40, 5)])
+def test_near_copies_without_shared_cold_columns(spark, monkeypatch, cold, block):
+    monkeypatch.setattr(near_copies, "ROUND_BYTES", 100_000)  # several rounds
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        b = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.choice([2, 4, 5, 12, 40, 90, 300]))]
+        for k in range(4):
+            c = b[:]
+            for _ in range(rng.randint(0, max(1, len(b) // 8)) if k else 0):
+                at = rng.randrange(len(c))
+                c[at : at + rng.randint(0, 1)] = [f"w{rng.randint(0, 400)}"] * (rng.random() < 0.7 or len(c) < 2)
+            rows.append((f"{i}-{k}", " ".join(c)))
+    m, p = near_copies.near_copies(spark.createDataFrame(rows, "document_id string, text string"), block=block, cold=cold)
+    got = [tuple(r) for r in near_copies.copy_pairs(m, p).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(min(a, b), max(a, b)) for i, (a, s) in enumerate(rows) for b, t in rows[i + 1 :] if similarity(s, t) >= 0.8 - 1e-12}
+
+
+def test_work_a_row_is_bounded_while_the_corpus_grows(spark):
+    """Texts over a closed vocabulary: products and postings of a row stay about as many over four times the rows."""
+    rng = random.Random(3)
+    weights = [1 / (i + 20) for i in range(1500)]
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(1500)], weights, k=120)) for _ in range(2400)]
+    work = []
+    for n in (600, 2400):
+        rows = near_copies.rows_of(spark.createDataFrame([(f"{i}", t) for i, t in enumerate(texts[:n])], "document_id string, text string"), "document_id", "text", wide=False).cache()
+        counts = spark.sparkContext.broadcast(near_copies.column_counts(rows))
+        cold = near_copies.coldest(counts.value, n, 40)
+        by = near_copies.columns_of(rows, counts, 0.8, 4000, cold).groupBy("column").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
+        parts = near_copies.parts_of(rows, counts, 0.8, cold).count()
+        assert by[1] <= 40 / near_copies.FITTING * n
+        work.append((by[0] + parts) / n)
+        rows.unpersist()
+    assert work[1] < 2 * work[0]
+
+
+@given(st.integers(1, 3000), st.integers(0, 3000), st.integers(0, 600), st.integers(0, 600))
+def test_parts_outnumber_the_differences(n, m, cold_n, cold_m):
+    m = min(n, max(m, -(-4 * n // 5)))
+    left = [x / 9 - c for x, c in ((n, cold_n), (m, cold_m))]
+    a, b = sorted(int(np.searchsorted(near_copies.LEVELS, x - 1e-9)) for x in left)
+    assert near_copies._deal(b, a < b) > int(np.floor((n + m) / 9 + 1e-9)) - cold_n - cold_m
+
+
 @pytest.mark.parametrize("block", [3, 2000])
 def test_pairs_within_groups(spark, block):
     rows = [(f"h{i}", "hot") for i in range(40)] + [("a", "g"), ("b", "g"), ("c", "lone"), ("d", None), ("e", None)]
